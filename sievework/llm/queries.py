@@ -40,6 +40,18 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("_row.doc_id").alias("doc_id"), "n_lines", "n_dropped", F.sha2("_kept", 256).alias("kept_sha256"))
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sp_codec import encode_decode
+
+    return encode_decode(_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op9_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .wavelet import read, write
+
+    return read(write(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=2))
+
+
 OP4_SQL = r"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
@@ -63,7 +75,8 @@ FROM judged GROUP BY doc_id
 
 
 def queries() -> dict:
-    return {"op1_packing": op1_packing, "op2_sharding": op2_sharding, "op4_line_dedup": op4_line_dedup}
+    return {"op1_packing": op1_packing, "op2_sharding": op2_sharding, "op4_line_dedup": op4_line_dedup,
+            "op7_sentencepiece": op7_sentencepiece, "op9_wavelet": op9_wavelet}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -58,6 +58,12 @@ def op9_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(write(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=2))
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 OP4_SQL = r"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
@@ -82,7 +88,7 @@ FROM judged GROUP BY doc_id
 
 def queries() -> dict:
     return {"op1_packing": op1_packing, "op2_sharding": op2_sharding, "op3_fingerprints": op3_fingerprints, "op4_line_dedup": op4_line_dedup,
-            "op7_sentencepiece": op7_sentencepiece, "op9_wavelet": op9_wavelet}
+            "op7_sentencepiece": op7_sentencepiece, "op9_wavelet": op9_wavelet, "op10_ngram_join": op10_ngram_join}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -46,6 +46,12 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("_row.doc_id").alias("doc_id"), "n_lines", "n_dropped", F.sha2("_kept", 256).alias("kept_sha256"))
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import identify
+
+    return identify(_table(spark, sf_dir, "documents"))
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sp_codec import encode_decode
 
@@ -88,7 +94,7 @@ FROM judged GROUP BY doc_id
 
 def queries() -> dict:
     return {"op1_packing": op1_packing, "op2_sharding": op2_sharding, "op3_fingerprints": op3_fingerprints, "op4_line_dedup": op4_line_dedup,
-            "op7_sentencepiece": op7_sentencepiece, "op9_wavelet": op9_wavelet, "op10_ngram_join": op10_ngram_join}
+            "op6_language": op6_language, "op7_sentencepiece": op7_sentencepiece, "op9_wavelet": op9_wavelet, "op10_ngram_join": op10_ngram_join}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -58,6 +58,12 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op8_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann import search
+
+    return search(_table(spark, sf_dir, "embeddings"))
+
+
 def op9_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .wavelet import read, write
 
@@ -94,7 +100,7 @@ FROM judged GROUP BY doc_id
 
 def queries() -> dict:
     return {"op1_packing": op1_packing, "op2_sharding": op2_sharding, "op3_fingerprints": op3_fingerprints, "op4_line_dedup": op4_line_dedup,
-            "op6_language": op6_language, "op7_sentencepiece": op7_sentencepiece, "op9_wavelet": op9_wavelet, "op10_ngram_join": op10_ngram_join}
+            "op6_language": op6_language, "op7_sentencepiece": op7_sentencepiece, "op8_kmeans_tree": op8_kmeans_tree, "op9_wavelet": op9_wavelet, "op10_ngram_join": op10_ngram_join}
 
 
 def oracle_sql() -> dict[str, str]:

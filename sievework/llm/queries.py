@@ -46,6 +46,13 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("_row.doc_id").alias("doc_id"), "n_lines", "n_dropped", F.sha2("_kept", 256).alias("kept_sha256"))
 
 
+def op5_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import pseudonymize
+
+    return pseudonymize(_table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        F.col("_row.doc_id").alias("doc_id"), F.col("_masked").alias("text"), "n_found", "pseudonyms")
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .langid import identify
 
@@ -100,7 +107,7 @@ FROM judged GROUP BY doc_id
 
 def queries() -> dict:
     return {"op1_packing": op1_packing, "op2_sharding": op2_sharding, "op3_fingerprints": op3_fingerprints, "op4_line_dedup": op4_line_dedup,
-            "op6_language": op6_language, "op7_sentencepiece": op7_sentencepiece, "op8_kmeans_tree": op8_kmeans_tree, "op9_wavelet": op9_wavelet, "op10_ngram_join": op10_ngram_join}
+            "op5_pseudonyms": op5_pseudonyms, "op6_language": op6_language, "op7_sentencepiece": op7_sentencepiece, "op8_kmeans_tree": op8_kmeans_tree, "op9_wavelet": op9_wavelet, "op10_ngram_join": op10_ngram_join}
 
 
 def oracle_sql() -> dict[str, str]:

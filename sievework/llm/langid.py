@@ -172,6 +172,12 @@ def predict(docs: DataFrame, languages: list[str], prototypes: np.ndarray, mean:
         run, ", ".join(f"`{c}` {kinds[c]}" for c in columns) + ", lang_pred string, score double")
 
 
+def train_rows(docs: DataFrame) -> DataFrame:
+    """text, lang and key of the rows that may be learned from."""
+    doc_id = F.col("doc_id").cast("long")
+    return docs.where(_fold_of(doc_id) != 2).select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), doc_id.alias("key"))
+
+
 def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every row of docs.
 
@@ -181,5 +187,5 @@ def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     held = F.coalesce(_fold_of(F.col("doc_id")) == 2, F.lit(False))
-    model = learn(docs.where(~held & F.col("doc_id").isNotNull()).select("text", "lang", F.col("doc_id").alias("key")), sample)
+    model = learn(train_rows(docs), sample)
     return predict(docs.withColumn("held_out", held), *model, ["doc_id", "held_out"])

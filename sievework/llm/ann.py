@@ -26,8 +26,9 @@ FIT_ROWS = 20_000
 CALIBRATION = 400
 #: Children of a node, rows that a leaf is meant to hold, sampled rows it needs.
 BRANCH, LEAF_ROWS, LEAF_SAMPLE = 8, 512, 8
-#: Rows and queries of a tile.
+#: Rows and queries of a tile, which holds the leaves of one of GROUPS groups.
 TILE = 4096
+GROUPS = 64
 RECALL = 0.97
 
 
@@ -197,24 +198,40 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, recall: float = RECA
     def go(batches):
         for batch in batches:
             points = _unit(_matrix(batch.column(1))) if batch.num_rows else []
-            leaves = [shared.value.visit(p, visits) for p in points]
-            at = np.repeat(np.arange(batch.num_rows), [len(x) for x in leaves])
-            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(at)) for c in batch.columns), pa.array([x for own in leaves for x in own], pa.int32())], ["vec_id", "v", "leaf"])
-
-    calls = asked.select("vec_id", "v").mapInArrow(go, "vec_id long, v array<double>, leaf int")
-    # A row a leaf: the tree's leaves are bounded by FIT_ROWS / LEAF_SAMPLE.
-    tiles = lambda df, name: df.groupBy("leaf").agg(F.expr(f"CAST(ceil(count(*) / {TILE}) AS INT)").alias(name))
-    sizes = tiles(placed, "row_tiles").join(tiles(calls, "call_tiles"), "leaf")
+            at, group, leaves = [], [], []
+            for i, p in enumerate(points):
+                own: dict[int, list[int]] = {}
+                for leaf in shared.value.visit(p, visits):
+                    own.setdefault(leaf % GROUPS, []).append(leaf)
+                at += [i] * len(own)
+                group += own
+                leaves += own.values()
+            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(at, pa.int64())) for c in batch.columns), pa.array(group, pa.int32()), pa.array(leaves, pa.list_(pa.int32()))], ["vec_id", "v", "group", "leaves"])
+
+    calls = asked.select("vec_id", "v").mapInArrow(go, "vec_id long, v array<double>, group int, leaves array<int>")
+    grouped = placed.withColumn("group", F.col("leaf") % GROUPS)
+    # GROUPS rows.
+    tiles = lambda df, name: df.groupBy("group").agg(F.expr(f"CAST(ceil(count(*) / {TILE}) AS INT)").alias(name))
+    sizes = tiles(grouped, "row_tiles").join(tiles(calls, "call_tiles"), "group")
     part = lambda n: F.pmod(F.xxhash64(F.lit(9), "vec_id"), F.col(n)).cast("int")
     every_part = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = placed.join(F.broadcast(sizes), "leaf").withColumn("row_part", part("row_tiles")).withColumn("call_part", every_part("call_tiles"))
-    right = calls.join(F.broadcast(sizes), "leaf").withColumn("call_part", part("call_tiles")).withColumn("row_part", every_part("row_tiles"))
-    keys, kept = ["leaf", "row_part", "call_part"], ["leaf", "row_part", "call_part", "vec_id", "v"]
+    left = grouped.join(F.broadcast(sizes), "group").withColumn("row_part", part("row_tiles")).withColumn("call_part", every_part("call_tiles"))
+    right = calls.join(F.broadcast(sizes), "group").withColumn("call_part", part("call_tiles")).withColumn("row_part", every_part("row_tiles"))
+    keys = ["group", "row_part", "call_part"]
 
     def meet(own, other):
         if not own.num_rows or not other.num_rows:
             return pa.Table.from_batches([_hits([])])
-        return pa.Table.from_batches([_hits(nearest(_matrix(other.column("v")), other.column("vec_id").to_numpy(), _matrix(own.column("v")), own.column("vec_id").to_numpy(), k))])
-
-    hits = left.select(*kept).groupBy(*keys).cogroup(right.select(*kept).groupBy(*keys)).applyInArrow(meet, "query_id long, vec_id long, score double")
+        rows, row_ids, leaf = _matrix(own.column("v")), own.column("vec_id").to_numpy(), own.column("leaf").to_numpy()
+        asks, ask_ids, leaves = _matrix(other.column("v")), other.column("vec_id").to_numpy(), other.column("leaves").to_pylist()
+        best: dict[int, list] = {}
+        for one in np.unique(leaf).tolist():
+            k_asks = np.array([i for i, x in enumerate(leaves) if one in x], np.int64)
+            if len(k_asks):
+                here = leaf == one
+                for hit in nearest(asks[k_asks], ask_ids[k_asks], rows[here], row_ids[here], k):
+                    best.setdefault(hit[0], []).append(hit)
+        return pa.Table.from_batches([_hits([h for found in best.values() for h in sorted(found, key=lambda h: (-h[2], h[1]))[:k]])])
+
+    hits = left.select(*keys, "vec_id", "v", "leaf").groupBy(*keys).cogroup(right.select(*keys, "vec_id", "v", "leaves").groupBy(*keys)).applyInArrow(meet, "query_id long, vec_id long, score double")
     return _ranked(hits, k)

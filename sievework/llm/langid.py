@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Components of a vector.
 DIMENSIONS = 1024
@@ -167,9 +168,9 @@ def predict(docs: DataFrame, languages: list[str], prototypes: np.ndarray, mean:
                 found.append(names[best]), scores.append(min(1.0, max(0.0, float(near[best]))))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.string()), pa.array(scores, pa.float64())], [*columns, "lang_pred", "score"])
 
-    kinds = dict(docs.select(*columns).dtypes)
-    return docs.select(*columns, F.col("text").cast("string").alias("_text")).mapInArrow(
-        run, ", ".join(f"`{c}` {kinds[c]}" for c in columns) + ", lang_pred string, score double")
+    kept = docs.select(*columns)
+    schema = T.StructType([*kept.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return docs.select(*columns, F.col("text").cast("string").alias("_text")).mapInArrow(run, schema)
 
 
 def train_rows(docs: DataFrame) -> DataFrame:

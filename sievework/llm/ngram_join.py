@@ -13,7 +13,7 @@ link when |A and B| / |A or B| reaches the threshold.
 3. Candidates pass if the bits in which their hashed bitmaps differ allow enough
    overlap, then if the exact intersection of their sorted shingles does.
 4. Links give components.  Members of long lists that ended in different
-   components meet in tiles of bounded size, across components only, again by
+   components meet in tiles of bounded size, across components only, by wider
    bitmaps and exact intersection; so no link between components is missed.
 """
 
@@ -37,7 +37,7 @@ _CELL_BLOCKS = 16
 #: Lists of up to so many nodes are compared pair by pair at once.
 SHORT = 12
 #: Nodes of a tile in the last comparison; a salt is meant to hold as many.
-TILE = 2048
+TILE = 1024
 #: Bits of the filter that spares the texts of nodes without candidates.
 FILTER_BITS = 1 << 24
 
@@ -47,9 +47,9 @@ def _least(n: int, t: Fraction) -> int:
     return -(-n * t.numerator // t.denominator)
 
 
-def bitmap(s: np.ndarray) -> bytes:
-    """Parities of hashed shingles: as many bits as the next power of two over their number, from 256 on."""
-    bits = 1 << max(8, int(len(s) - 1).bit_length())
+def bitmap(s: np.ndarray, wide: int = 0) -> bytes:
+    """Parities of hashed shingles: as many bits as the next power of two over their number, from 256 on; 2 ** wide times as many."""
+    bits = 1 << max(8, int(len(s) - 1).bit_length()) + wide
     return np.packbits(np.bincount((s >> np.uint64(20)) & np.uint64(bits - 1), minlength=bits) & 1 != 0, bitorder="little").tobytes()
 
 
@@ -221,23 +221,22 @@ def _fit(pairs: DataFrame, nodes: DataFrame, t: Fraction) -> DataFrame:
         "a", "b", "na", "nb", "bits_a", "bits_b").mapInArrow(keep, "a long, b long")
 
 
-def _verify(docs: DataFrame, pairs: DataFrame, t: Fraction, name: str) -> DataFrame:
-    """The pairs that link, by exact intersections of sorted shingles."""
-    spark = docs.sparkSession
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node"))
+def _gather(docs: DataFrame, ends: DataFrame, make, kind: pa.DataType, schema: str, name: str) -> DataFrame:
+    """node and make(text, shingles) of the nodes in ends, and of a few others: a
+    fixed number of hashed bits tells the tasks whose texts may be needed."""
     cell = F.expr(f"pmod(node, {FILTER_BITS}) + 1")
     filled = ends.groupBy(F.bitmap_bucket_number(cell).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(cell)).alias("bits")).collect()
     table = np.zeros(FILTER_BITS // 8, np.uint8)  # FILTER_BITS bits at most come to the driver
     for k, raw in ((r.k, r.bits) for r in filled):
         table[(k - 1) * 4096:k * 4096] = np.frombuffer(bytes(raw), np.uint8)
-    shared = spark.sparkContext.broadcast(table)
+    shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def texts(batches):
         bits, seen = shared.value, set()
         for batch in batches:
             out = ([], [])
             for text in batch.column(0).to_pylist():
-                own = node_of(shingles(text))
+                own = node_of(s := shingles(text))
                 if own is None or own in seen:
                     continue
                 at = own % FILTER_BITS
@@ -245,9 +244,14 @@ def _verify(docs: DataFrame, pairs: DataFrame, t: Fraction, name: str) -> DataFr
                     if len(seen) >= 1_000_000:
                         seen.clear()
                     seen.add(own)
-                    out[0].append(own), out[1].append(text)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.string())], ["node", "text"])
+                    out[0].append(own), out[1].append(make(text, s))
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], kind)], ["node", "made"])
+
+    return materialize(docs.select(F.col("text").cast("string")).mapInArrow(texts, schema).dropDuplicates(["node"]), name)
+
 
+def _verify(docs: DataFrame, pairs: DataFrame, t: Fraction, name: str) -> DataFrame:
+    """The pairs that link, by exact intersections of sorted shingles."""
     def intersect(batches):
         for batch in batches:
             keep, last, left = [], None, None
@@ -259,10 +263,10 @@ def _verify(docs: DataFrame, pairs: DataFrame, t: Fraction, name: str) -> DataFr
                 keep.append(shared_n * t.denominator >= t.numerator * (len(left) + len(right) - shared_n))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    nodes = docs.select(F.col("text").cast("string")).mapInArrow(texts, "node long, text string").dropDuplicates(["node"])
-    nodes = materialize(nodes, name + "-texts")
-    joined = pairs.join(nodes.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(
-        nodes.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node"))
+    nodes = _gather(docs, ends, lambda text, _: text, pa.string(), "node long, made string", name + "-texts")
+    joined = pairs.join(nodes.select(F.col("node").alias("a"), F.col("made").alias("ta")), "a").join(
+        nodes.select(F.col("node").alias("b"), F.col("made").alias("tb")), "b")
     return materialize(joined.select("a", "b", "ta", "tb").mapInArrow(intersect, "a long, b long"), name)
 
 
@@ -284,19 +288,25 @@ def components(links: DataFrame) -> DataFrame:
         labels = new.select("node", "label")
 
 
-def _across(long: DataFrame, labels: DataFrame, nodes: DataFrame, t: Fraction) -> DataFrame:
-    """Candidate pairs of long lists whose ends lie in different components."""
+def _across(docs: DataFrame, long: DataFrame, labels: DataFrame, nodes: DataFrame, t: Fraction) -> DataFrame:
+    """Candidate pairs of long lists whose ends lie in different components.
+
+    There may be as many as a list has pairs, so the bitmaps are eight times as
+    wide here: few pairs pass that do not link.
+    """
     named = long.join(labels, "node", "left").select("h", "node", F.coalesce("label", "node").alias("label"))
     mixed = named.groupBy("h").agg(F.min("label").alias("_a"), F.max("label").alias("_b"), F.count("*").alias("_n")).where("_a <> _b").select(
         "h", F.expr(f"CAST(ceil(_n / {TILE}) AS INT)").alias("tiles"))
-    tile = named.join(mixed, "h").withColumn("tile", F.expr("CAST(pmod(node, tiles) AS INT)")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    rows = tile.join(nodes.select("node", "n", "bits"), "node").select("h", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "tile", "node", "label", "n", "bits")
+    rows = materialize(named.join(mixed, "h"), "mixed")
+    wide = _gather(docs, rows.select("node").distinct(), lambda _, s: bitmap(s, 3), pa.binary(), "node long, made binary", "wide").join(nodes.select("node", "n"), "node")
+    tile = rows.withColumn("tile", F.expr("CAST(pmod(node, tiles) AS INT)")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    tiles = tile.join(wide, "node").select("h", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "tile", "node", "label", "n", F.col("made").alias("bits"))
 
     def meet(key, table):
-        tiles, node, label, n = (table.column(c).to_numpy() for c in ("tile", "node", "label", "n"))
+        own_tile, node, label, n = (table.column(c).to_numpy() for c in ("tile", "node", "label", "n"))
         bits = table.column("bits").to_pylist()
         order = np.lexsort((node, n))
-        tiles, node, label, n, bits = tiles[order], node[order], label[order], n[order], [bits[i] for i in order]
+        own_tile, node, label, n, bits = own_tile[order], node[order], label[order], n[order], [bits[i] for i in order]
         sizes = np.array([len(b) for b in bits])
         plain = {int(s): np.stack([fold(np.frombuffer(b, np.uint8), int(s)) if s <= len(b) <= 2 * s else np.zeros(int(s), np.uint8) for b in bits]) for s in np.unique(sizes)}
         within = key[1].as_py() == key[2].as_py()
@@ -304,7 +314,7 @@ def _across(long: DataFrame, labels: DataFrame, nodes: DataFrame, t: Fraction) -
         for i in range(len(node)):
             to = int(np.searchsorted(n, n[i] * t.denominator // t.numerator, side="right"))
             k = np.arange(i + 1, to)
-            k = k[(label[k] != label[i]) & (within | (tiles[k] != tiles[i]))]
+            k = k[(label[k] != label[i]) & (within | (own_tile[k] != own_tile[i]))]
             if len(k):
                 own = plain[int(sizes[i])]
                 shared = (n[i] + n[k] - np.bitwise_count(own[k] ^ own[i]).sum(1, dtype=np.int64)) // 2
@@ -313,7 +323,7 @@ def _across(long: DataFrame, labels: DataFrame, nodes: DataFrame, t: Fraction) -
         pair = np.concatenate(found) if found else np.empty((0, 2), np.int64)
         return pa.table([pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy())], names=["a", "b"])
 
-    return rows.groupBy("h", "low", "high").applyInArrow(meet, "a long, b long").distinct()
+    return tiles.groupBy("h", "low", "high").applyInArrow(meet, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, threshold: Fraction = Fraction(3, 4)) -> DataFrame:
@@ -338,7 +348,7 @@ def near_duplicates(docs: DataFrame, threshold: Fraction = Fraction(3, 4)) -> Da
     pairs = lists.where("kind = 0").select("a", "b").unionByName(heads).distinct()
     links = _verify(docs, materialize(_fit(pairs, nodes, threshold), "fit"), threshold, "links")
     labels = components(links)
-    across = materialize(_fit(_across(lists.where("kind = 1").select("h", F.col("a").alias("node")), labels, nodes, threshold), nodes, threshold), "across")
+    across = materialize(_across(docs, lists.where("kind = 1").select("h", F.col("a").alias("node")), labels, nodes, threshold), "across")
     if not across.isEmpty():
         more = _verify(docs, across, threshold, "links-across")
         if not more.isEmpty():

@@ -30,8 +30,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = learn(train_rows(docs))
     if not model[0]:
         return docs
-    judged = predict(docs, *model, docs.columns)
-    return judged.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    judged = predict(docs.select(F.struct("*").alias("_row")), *model, ["_row"])
+    return judged.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select("_row.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,8 +44,8 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     doc_id whose group has no other.  Equal rows stay once."""
     keep = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
         F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")).distinct()
-    own = docs.withColumn("_t", F.xxhash64(F.col("text").cast("string")))
-    return own.join(keep, own.doc_id.eqNullSafe(F.col("_d")) & (F.col("_t") == F.col("_h")), "left_semi").dropDuplicates(["doc_id", "_t"]).select(*docs.columns)
+    own = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_i"), F.xxhash64(F.col("text").cast("string")).alias("_t"))
+    return own.join(keep, F.col("_i").eqNullSafe(F.col("_d")) & (F.col("_t") == F.col("_h")), "left_semi").dropDuplicates(["_i", "_t"]).select("_row.*")
 
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

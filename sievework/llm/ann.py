@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import bounded_batches, materialize
 
 #: Rows on which the tree is fitted, in expectation.
 FIT_ROWS = 20_000
@@ -143,9 +143,13 @@ def _brute(vectors: DataFrame, queries: list, k: int) -> DataFrame:
 
     def run(batches):
         own_ids, own = shared.value
+        best: dict[int, list] = {int(q): [] for q in own_ids}
         for batch in batches:
             if batch.num_rows:
-                yield _hits(nearest(own, own_ids, _matrix(batch.column(1)), batch.column(0).to_numpy(), k))
+                for hit in nearest(own, own_ids, _matrix(batch.column(1)), batch.column(0).to_numpy(), k):
+                    best[hit[0]].append(hit)
+                best = {q: sorted(found, key=lambda h: (-h[2], h[1]))[:k] for q, found in best.items()}
+        yield _hits([h for found in best.values() for h in found])
 
     return _ranked(vectors.select("vec_id", "v").mapInArrow(run, "query_id long, vec_id long, score double"), k)
 
@@ -169,7 +173,7 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, recall: float = RECA
     An empty table, or one with a single usable row, gives no rows.
     """
     spark = vectors.sparkSession
-    rows = materialize(usable(vectors), "vectors")
+    rows = materialize(usable(bounded_batches(vectors)), "vectors")
     total = rows.count()
     is_query = F.pmod("vec_id", F.lit(every)) == 0
     chance = F.pmod(F.xxhash64(F.lit(3), "vec_id"), F.lit(1 << 30)) / float(1 << 30)

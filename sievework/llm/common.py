@@ -12,6 +12,20 @@ from pyspark.sql import functions as F
 _INDEX_BITS = 33
 
 
+#: Rows of an Arrow batch.  Texts may be very long, so the usual 10,000 would hold
+#: too much of an executor's memory.
+BATCH_ROWS = 1000
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """df, whose session from now on passes at most BATCH_ROWS rows to Python at once."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder of spark.checkpoint.dir; where it is unset (tests), a
     temporary one, which is then set for the session."""

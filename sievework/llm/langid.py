@@ -12,10 +12,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import bounded_batches
+
 #: Components of a vector.
 DIMENSIONS = 1024
 #: Letters that have vectors of their own; others share them by code point.
@@ -113,7 +116,7 @@ def learn(labelled: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndar
     About `sample` rows of each language are taken by a hash of key; their vectors
     are summed in the tasks, so one vector a task and language is moved.
     """
-    labelled = labelled.where("lang IS NOT NULL AND text IS NOT NULL")
+    labelled = bounded_batches(labelled).where("lang IS NOT NULL AND text IS NOT NULL")
     rates = [(r.lang, min(1.0, sample / r.n)) for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()]  # one row a language
     if not rates:
         return [], np.empty((0, DIMENSIONS)), np.zeros(DIMENSIONS)
@@ -146,10 +149,12 @@ def learn(labelled: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndar
 def predict(docs: DataFrame, languages: list[str], prototypes: np.ndarray, mean: np.ndarray, columns: list[str]) -> DataFrame:
     """The named columns of docs, lang_pred and score.
 
-    docs has text.  score is the best cosine, 0 where it is negative; a null text
+    docs has text, by itself or, to pass it once, in the last of columns, a struct.
+    score is the best cosine, 0 where it is negative; a null text
     or one without letters is `und` with score 0, as is all if nothing was
     learned.  Ties go to the first language by name.
     """
+    inside = "text" not in docs.columns
     shared = docs.sparkSession.sparkContext.broadcast((languages, prototypes.astype(np.float32), mean.astype(np.float32)))
 
     def run(batches):
@@ -157,7 +162,8 @@ def predict(docs: DataFrame, languages: list[str], prototypes: np.ndarray, mean:
         p = profiles()
         for batch in batches:
             found, scores = [], []
-            for text in batch.column(batch.num_columns - 1).to_pylist():
+            held = batch.column(batch.num_columns - 1)
+            for text in (pc.struct_field(held, "text") if inside else held).to_pylist():
                 v = p.profile(text) if names else None
                 if v is None:
                     found.append(UNKNOWN), scores.append(0.0)
@@ -166,11 +172,11 @@ def predict(docs: DataFrame, languages: list[str], prototypes: np.ndarray, mean:
                 near = table @ v / max(float(np.linalg.norm(v)), 1e-12)
                 best = int(np.argmax(near))
                 found.append(names[best]), scores.append(min(1.0, max(0.0, float(near[best]))))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.string()), pa.array(scores, pa.float64())], [*columns, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.columns if inside else batch.columns[:-1]), pa.array(found, pa.string()), pa.array(scores, pa.float64())], [*columns, "lang_pred", "score"])
 
-    kept = docs.select(*columns)
+    kept = bounded_batches(docs).select(*columns)
     schema = T.StructType([*kept.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return docs.select(*columns, F.col("text").cast("string").alias("_text")).mapInArrow(run, schema)
+    return (kept if inside else docs.select(*columns, F.col("text").cast("string").alias("_text"))).mapInArrow(run, schema)
 
 
 def train_rows(docs: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import bounded_batches, materialize
 from .shingles import mix, shingles
 
 #: Hash cells of the frequency order: a fixed size, whatever the corpus.
@@ -337,7 +337,7 @@ def near_duplicates(docs: DataFrame, threshold: Fraction = Fraction(3, 4)) -> Da
     and text are ignored.
     """
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
+    docs = bounded_batches(docs).select("doc_id", "text")
     described = materialize(_describe(docs, threshold, _order_counts(docs)), "sets")
     nodes = described.where("prefix IS NOT NULL").select("node", "n", "bits").dropDuplicates(["node"])
     total = described.where("prefix IS NOT NULL").agg(F.sum(F.octet_length("prefix") / 8)).first()[0] or 0

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import bounded_batches, materialize
 from .tokens import encoder
 
 _FIELDS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, _pid int, _local long"
@@ -72,7 +72,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, longest: int = 2048,
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    pieces = materialize(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
+    pieces = materialize(bounded_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
         cut, _FIELDS + (", ids array<int>" if with_ids else "")), "pieces")
     before = Window.orderBy(F.desc("length"), "_pid").rowsBetween(Window.unboundedPreceding, -1)
     # At most 1 + log2(longest) rows for each task of the scan.

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
 from .shingles import shingles
 
 K = 128
@@ -80,7 +81,7 @@ def fingerprint_edits(docs: DataFrame, k: int = K) -> DataFrame:
     task and each text moves once.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    docs = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     ids = docs.agg(F.count("*"), F.min("doc_id"), F.count("doc_id")).first()
     rows, least, known = ids
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows // 20_000)

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 #: Words that a worker remembers.  When full it starts anew.
 MEMORY_WORDS = 1_200_000
 _BLANK = "▁"
@@ -200,5 +202,5 @@ def encode_decode(docs: DataFrame, model_path: str, with_ids: bool = False) -> D
                 names += ["ids", "decoded"]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
+    return bounded_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
         run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if with_ids else ""))

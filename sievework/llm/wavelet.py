@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import bounded_batches, materialize
 from .tokens import encoder
 
 #: A file is closed after this many ids; a document is never split.
@@ -176,7 +176,7 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
             yield file()
 
     keys = [F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()]
-    files = (docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    files = (bounded_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
              .repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(encode, "file_no long, payload binary"))
     return materialize(files, "tokens", {"maxRecordsPerFile": "1", "compression": "none"})
 

@@ -133,10 +133,10 @@ def q_group_percent(t):
     return per.crossJoin(F.broadcast(per.agg(F.sum("n").alias("total")))).select("c_mktsegment", "n", (F.col("n") * 100.0 / F.col("total")).alias("percent"))  # one row
 
 
-@query(r"""SELECT user_id, min(ts) AS started, max(ts) AS ended, count(*) / nullif(epoch_ms(max(ts)) / 1000.0 - epoch_ms(min(ts)) / 1000.0, 0) AS per_second FROM events GROUP BY user_id""")
+@query(r"""SELECT user_id, min(ts) AS started, max(ts) AS ended, count(*) / nullif((epoch_us(max(ts)) - epoch_us(min(ts))) / 1000000.0, 0) AS per_second FROM events GROUP BY user_id""")
 def q_throughput(t):
-    s = lambda c: F.unix_millis(c.cast("timestamp")) / 1000.0
-    return t.events.groupBy("user_id").agg(F.min("ts").alias("started"), F.max("ts").alias("ended"), A.ratio(F.count("*"), s(F.max("ts")) - s(F.min("ts"))).alias("per_second"))
+    us = lambda c: F.unix_micros(c.cast("timestamp"))
+    return t.events.groupBy("user_id").agg(F.min("ts").alias("started"), F.max("ts").alias("ended"), A.ratio(F.count("*"), (us(F.max("ts")) - us(F.min("ts"))) / 1_000_000.0).alias("per_second"))
 
 
 @query(r"""SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, sum(l_extendedprice * (1 - l_discount)) AS revenue, avg(l_discount) AS avg_disc, count(*)::BIGINT AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY 1, 2""")

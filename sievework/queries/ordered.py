@@ -56,7 +56,7 @@ def q_change_log(t):
     return O.changes(t.events, "user_id", ["ts", "event_id"], "event_type").select("user_id", "event_id", "event_type", "previous")
 
 
-@query(r"""WITH e AS (SELECT user_id, event_id, epoch(ts)::BIGINT AS s, event_id * (CASE WHEN event_id % 97 = 0 THEN 0 ELSE 1 END) AS counter FROM events), d AS (SELECT user_id, s, max(counter) AS counter FROM e GROUP BY 1, 2),
+@query(r"""WITH e AS (SELECT user_id, event_id, floor(epoch(ts))::BIGINT AS s, event_id * (CASE WHEN event_id % 97 = 0 THEN 0 ELSE 1 END) AS counter FROM events), d AS (SELECT user_id, s, max(counter) AS counter FROM e GROUP BY 1, 2),
 w AS (SELECT user_id, s, counter, min(s) OVER f AS t0, first(counter) OVER f AS v0 FROM d WINDOW f AS (PARTITION BY user_id ORDER BY s RANGE BETWEEN 86400 PRECEDING AND 1 PRECEDING))
 SELECT user_id, s, CASE WHEN t0 IS NOT NULL AND counter >= v0 THEN round((counter - v0)::DOUBLE / (s - t0), 6) END AS rate FROM w""")
 def q_rolling_rate(t):

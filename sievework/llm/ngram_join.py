@@ -14,7 +14,9 @@ link when |A and B| / |A or B| reaches the threshold.
    overlap, then if the exact intersection of their sorted shingles does.
 4. Links give components.  Members of long lists that ended in different
    components meet in tiles of bounded size, across components only, by wider
-   bitmaps and exact intersection; so no link between components is missed.
+   bitmaps and exact intersection: first by pairs enough to join what probably
+   links, at last by every pair that bitmaps allow, so no link between components
+   is missed.
 """
 
 from __future__ import annotations
@@ -221,37 +223,48 @@ def _fit(pairs: DataFrame, nodes: DataFrame, t: Fraction) -> DataFrame:
         "a", "b", "na", "nb", "bits_a", "bits_b").mapInArrow(keep, "a long, b long")
 
 
-def _gather(docs: DataFrame, ends: DataFrame, make, kind: pa.DataType, schema: str, name: str) -> DataFrame:
-    """node and make(text, shingles) of the nodes in ends, and of a few others: a
-    fixed number of hashed bits tells the tasks whose texts may be needed."""
+def _filter(ends: DataFrame):
+    """The nodes in ends, and a few others, as a fixed number of hashed bits, broadcast."""
     cell = F.expr(f"pmod(node, {FILTER_BITS}) + 1")
     filled = ends.groupBy(F.bitmap_bucket_number(cell).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(cell)).alias("bits")).collect()
     table = np.zeros(FILTER_BITS // 8, np.uint8)  # FILTER_BITS bits at most come to the driver
     for k, raw in ((r.k, r.bits) for r in filled):
         table[(k - 1) * 4096:k * 4096] = np.frombuffer(bytes(raw), np.uint8)
-    shared = docs.sparkSession.sparkContext.broadcast(table)
+    return ends.sparkSession.sparkContext.broadcast(table)
+
+
+def _gather(docs: DataFrame, ends: DataFrame) -> DataFrame:
+    """node, text and bits, a bitmap four times as wide, of the nodes in ends and of a few others."""
+    shared = _filter(ends)
 
     def texts(batches):
-        bits, seen = shared.value, set()
+        filter_bits, seen = shared.value, set()
         for batch in batches:
-            out = ([], [])
+            node, own_text, bits = [], [], []
             for text in batch.column(0).to_pylist():
                 own = node_of(s := shingles(text))
                 if own is None or own in seen:
                     continue
                 at = own % FILTER_BITS
-                if bits[at >> 3] >> (at & 7) & 1:
+                if filter_bits[at >> 3] >> (at & 7) & 1:
                     if len(seen) >= 1_000_000:
                         seen.clear()
                     seen.add(own)
-                    out[0].append(own), out[1].append(make(text, s))
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], kind)], ["node", "made"])
+                    node.append(own), own_text.append(text), bits.append(bitmap(s, 2))
+            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(own_text, pa.string()), pa.array(bits, pa.binary())], ["node", "text", "bits"])
 
-    return materialize(docs.select(F.col("text").cast("string")).mapInArrow(texts, schema).dropDuplicates(["node"]), name)
+    return materialize(docs.select(F.col("text").cast("string")).mapInArrow(texts, "node long, text string, bits binary").dropDuplicates(["node"]), "texts")
 
 
-def _verify(docs: DataFrame, pairs: DataFrame, t: Fraction, name: str) -> DataFrame:
+def _verify(texts: DataFrame, pairs: DataFrame, t: Fraction, name: str) -> DataFrame:
     """The pairs that link, by exact intersections of sorted shingles."""
+    shared = _filter(pairs.select(F.explode(F.array("a", "b")).alias("node")))
+
+    def needed(batches):
+        for batch in batches:
+            at = batch.column(0).to_numpy() % FILTER_BITS
+            yield batch.filter(pa.array(shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1 != 0))
+
     def intersect(batches):
         for batch in batches:
             keep, last, left = [], None, None
@@ -263,10 +276,9 @@ def _verify(docs: DataFrame, pairs: DataFrame, t: Fraction, name: str) -> DataFr
                 keep.append(shared_n * t.denominator >= t.numerator * (len(left) + len(right) - shared_n))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node"))
-    nodes = _gather(docs, ends, lambda text, _: text, pa.string(), "node long, made string", name + "-texts")
-    joined = pairs.join(nodes.select(F.col("node").alias("a"), F.col("made").alias("ta")), "a").join(
-        nodes.select(F.col("node").alias("b"), F.col("made").alias("tb")), "b")
+    few = texts.select("node", "text").mapInArrow(needed, "node long, text string")
+    joined = pairs.join(few.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(
+        few.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
     return materialize(joined.select("a", "b", "ta", "tb").mapInArrow(intersect, "a long, b long"), name)
 
 
@@ -288,38 +300,62 @@ def components(links: DataFrame) -> DataFrame:
         labels = new.select("node", "label")
 
 
-def _across(docs: DataFrame, long: DataFrame, labels: DataFrame, nodes: DataFrame, t: Fraction) -> DataFrame:
-    """Candidate pairs of long lists whose ends lie in different components.
+def _merge(labels: DataFrame, more: DataFrame) -> DataFrame:
+    """labels after more links (a, b): only the labels that they join are relabelled."""
+    known = labels.withColumnsRenamed({"node": "_n", "label": "_l"})
+    ends = more
+    for end in ("a", "b"):
+        ends = ends.join(known, ends[end] == known["_n"], "left").withColumn(end, F.coalesce("_l", end)).select("a", "b")
+    top = components(ends.where("a <> b"))
+    to = top.withColumnsRenamed({"node": "_n", "label": "_l"})
+    moved = labels.join(to, labels["label"] == to["_n"], "left").select("node", F.coalesce("_l", "label").alias("label"))
+    return materialize(moved.unionByName(top.join(labels, "node", "left_anti")), "labels")
+
+
+def _across(long: DataFrame, labels: DataFrame, sizes: DataFrame, texts: DataFrame, t: Fraction, forest: bool) -> DataFrame:
+    """Candidate pairs of long lists (h, node) whose ends lie in different components.
 
-    There may be as many as a list has pairs, so the bitmaps are eight times as
-    wide here: few pairs pass that do not link.
+    forest: of the pairs that probably link, only as many as join the components of
+    a tile; without it, every pair whose bitmaps allow a link.
     """
     named = long.join(labels, "node", "left").select("h", "node", F.coalesce("label", "node").alias("label"))
     mixed = named.groupBy("h").agg(F.min("label").alias("_a"), F.max("label").alias("_b"), F.count("*").alias("_n")).where("_a <> _b").select(
         "h", F.expr(f"CAST(ceil(_n / {TILE}) AS INT)").alias("tiles"))
-    rows = materialize(named.join(mixed, "h"), "mixed")
-    wide = _gather(docs, rows.select("node").distinct(), lambda _, s: bitmap(s, 3), pa.binary(), "node long, made binary", "wide").join(nodes.select("node", "n"), "node")
-    tile = rows.withColumn("tile", F.expr("CAST(pmod(node, tiles) AS INT)")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    tiles = tile.join(wide, "node").select("h", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "tile", "node", "label", "n", F.col("made").alias("bits"))
+    tile = named.join(mixed, "h").withColumn("tile", F.expr("CAST(pmod(node, tiles) AS INT)")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    tiles = tile.join(sizes, "node").join(texts.select("node", "bits"), "node").select(
+        "h", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "tile", "node", "label", "n", "bits")
 
     def meet(key, table):
         own_tile, node, label, n = (table.column(c).to_numpy() for c in ("tile", "node", "label", "n"))
         bits = table.column("bits").to_pylist()
         order = np.lexsort((node, n))
-        own_tile, node, label, n, bits = own_tile[order], node[order], label[order], n[order], [bits[i] for i in order]
-        sizes = np.array([len(b) for b in bits])
-        plain = {int(s): np.stack([fold(np.frombuffer(b, np.uint8), int(s)) if s <= len(b) <= 2 * s else np.zeros(int(s), np.uint8) for b in bits]) for s in np.unique(sizes)}
+        own_tile, node, label, n, bits = own_tile[order], node[order], label[order].copy(), n[order], [bits[i] for i in order]
+        widths = np.array([len(b) for b in bits])
+        plain = {int(s): np.stack([fold(np.frombuffer(b, np.uint8), int(s)) if s <= len(b) <= 2 * s else np.zeros(int(s), np.uint8) for b in bits]) for s in np.unique(widths)}
         within = key[1].as_py() == key[2].as_py()
         found = []
         for i in range(len(node)):
             to = int(np.searchsorted(n, n[i] * t.denominator // t.numerator, side="right"))
             k = np.arange(i + 1, to)
             k = k[(label[k] != label[i]) & (within | (own_tile[k] != own_tile[i]))]
-            if len(k):
-                own = plain[int(sizes[i])]
-                shared = (n[i] + n[k] - np.bitwise_count(own[k] ^ own[i]).sum(1, dtype=np.int64)) // 2
-                k = k[shared * t.denominator >= t.numerator * (n[i] + n[k] - shared)]
-                found.append(np.stack([np.minimum(node[k], node[i]), np.maximum(node[k], node[i])], 1))
+            if not len(k):
+                continue
+            own = plain[int(widths[i])]
+            differ = np.bitwise_count(own[k] ^ own[i]).sum(1, dtype=np.int64)
+            shared = (n[i] + n[k] - differ) // 2
+            fits = shared * t.denominator >= t.numerator * (n[i] + n[k] - shared)
+            if forest:
+                # Shingles that differ, as the bits that differ let expect.
+                width = 8 * int(widths[i])
+                likely = -width / 2 * np.log1p(-2 * np.minimum(differ, width / 2 - 1) / width)
+                fits &= (n[i] + n[k] - likely) / (n[i] + n[k] + likely) >= float(t)
+                k, likely = k[fits], likely[fits]
+                k = k[np.argsort(likely, kind="stable")]
+                k = k[np.unique(label[k], return_index=True)[1]]  # the likeliest of each component
+                label[np.isin(label, label[k])] = label[i]
+            else:
+                k = k[fits]
+            found.append(np.stack([np.minimum(node[k], node[i]), np.maximum(node[k], node[i])], 1))
         pair = np.concatenate(found) if found else np.empty((0, 2), np.int64)
         return pa.table([pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy())], names=["a", "b"])
 
@@ -346,13 +382,16 @@ def near_duplicates(docs: DataFrame, threshold: Fraction = Fraction(3, 4)) -> Da
     band = Window.partitionBy("h", F.floor(F.log(F.col("b").cast("double")) / -float(np.log(float(threshold))))).orderBy("b", "a")
     heads = lists.where("kind = 2").select(F.first("a").over(band).alias("p"), F.col("a").alias("q")).where("p <> q").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
     pairs = lists.where("kind = 0").select("a", "b").unionByName(heads).distinct()
-    links = _verify(docs, materialize(_fit(pairs, nodes, threshold), "fit"), threshold, "links")
-    labels = components(links)
-    across = materialize(_across(docs, lists.where("kind = 1").select("h", F.col("a").alias("node")), labels, nodes, threshold), "across")
-    if not across.isEmpty():
-        more = _verify(docs, across, threshold, "links-across")
-        if not more.isEmpty():
-            labels = components(links.unionByName(more))
+    fit = materialize(_fit(pairs, nodes, threshold), "fit")
+    long = lists.where("kind = 1").select("h", F.col("a").alias("node"))
+    texts = _gather(docs, fit.select(F.explode(F.array("a", "b")).alias("node")).unionByName(long.select("node")))
+    labels = components(_verify(texts, fit, threshold, "links"))
+    for forest in (True, False):
+        across = materialize(_across(long, labels, nodes.select("node", "n"), texts, threshold, forest), "across")
+        if not across.isEmpty():
+            more = _verify(texts, across, threshold, "links-across")
+            if not more.isEmpty():
+                labels = _merge(labels, more)
     named = described.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("own")).join(labels, "node", "left").select("node", "own", F.coalesce("label", "node").alias("label"))
     least = named.groupBy("label").agg(F.min("own").alias("component_id"))
     of = named.join(least, "label").select("node", "component_id")

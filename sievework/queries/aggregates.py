@@ -49,7 +49,7 @@ SELECT baseline, CASE WHEN count(build) FILTER (WHERE NOT malicious) = count_if(
  CASE WHEN count(repair) = count(*) THEN count_if(repair) / count(*) END AS review_repair_rate, count_if(doc_id % 2 = 0) / count(*) AS plan_quality_rate,
  count_if(want IS NOT NULL AND got IS NOT DISTINCT FROM want) / nullif(count(want), 0) AS tool_policy_accuracy, count_if(want = 'BLOCK' AND got IS NOT DISTINCT FROM want) / nullif(count_if(want = 'BLOCK'), 0) AS tool_policy_block_accuracy,
  CASE WHEN count(composite) = count(*) THEN count_if(composite) / count(*) END AS composite_success_rate, CASE WHEN count(composite) = count(*) AND count_if(composite) > 0 THEN sum(n_chars) / count_if(composite) END AS cost_per_success_tokens,
- count_if(NOT success) / count(*) AS error_rate, avg(n_chars) AS mean_total_tokens, 2.0 AS mean_builder_attempts, 2.0 AS mean_distinct_expert_stages, max(CASE WHEN doc_id % 2 = 0 THEN n_chars::DOUBLE END) AS peak_vram_mb FROM c GROUP BY baseline""")
+ count_if(NOT success) / count(*) AS error_rate, avg(n_chars) AS mean_total_tokens, 2.0::DOUBLE AS mean_builder_attempts, 2.0::DOUBLE AS mean_distinct_expert_stages, max(CASE WHEN doc_id % 2 = 0 THEN n_chars::DOUBLE END) AS peak_vram_mb FROM c GROUP BY baseline""")
 def q_benchmark_metrics(t):
     return A.benchmark_metrics(_records(t)).select("baseline", "build_pass_at_1", "review_repair_rate", "plan_quality_rate", "tool_policy_accuracy", "tool_policy_block_accuracy", "composite_success_rate", "cost_per_success_tokens", "error_rate", "mean_total_tokens", "mean_builder_attempts", "mean_distinct_expert_stages", "peak_vram_mb")
 

@@ -177,7 +177,7 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
 
     keys = [F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()]
     files = (bounded_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-             .repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(encode, "file_no long, payload binary"))
+             .repartitionByRange(keys[0]).sortWithinPartitions(*keys).mapInArrow(encode, "file_no long, payload binary"))
     return materialize(files, "tokens", {"maxRecordsPerFile": "1", "compression": "none"})
 
 

@@ -92,6 +92,14 @@ def test_near_representatives_equal_the_greedy_pass(spark):
     assert got == want
 
 
+def test_near_representatives_of_a_drifting_chain(spark):
+    rows = [(i, " ".join(f"w{k}" for k in range(3 * i, 3 * i + 40))) for i in range(105)]  # each resembles only its neighbours
+    assert _near(rows[0][1].split(), rows[1][1].split()) and not _near(rows[0][1].split(), rows[2][1].split())
+    df = spark.createDataFrame(rows, "id long, text string")
+    got = {x.id: x.representative for x in D.near_representatives(df, "id", "id", T.tokens(F.col("text"))).collect()}
+    assert got == {i: i - i % 2 for i in range(105)}
+
+
 def test_unions(spark):
     a = spark.createDataFrame([(1, "x", "k1"), (2, "y", "k2")], "id long, c string, k string")
     same, found = D.conflict_union([a, a], "id", F.col("c"), ["k"])

@@ -2,7 +2,8 @@
 
 The tree is fitted on a bounded sample; every row is then put into a leaf by going
 down to the nearest child.  A query visits leaves best bin first: the open node
-nearest to it is taken from a priority queue, until enough leaves are visited.
+nearest to it is taken from a priority queue, until enough leaves are visited and
+they hold enough rows.
 How many is calibrated: for a bounded number of queries the true neighbours are
 found among all rows, and visits widen until the wanted share of them is reached.
 
@@ -64,17 +65,18 @@ class Tree:
                 at[here] = np.array(below, np.int32)[np.argmax(points[here] @ self.centres[below].T, 1)]
         return at
 
-    def visit(self, point: np.ndarray, leaves: int) -> list[int]:
-        """The first leaves, best bin first."""
-        near, out = 1.0 - self.centres @ point, []
+    def visit(self, point: np.ndarray, leaves: int, sizes: dict[int, int] | None = None, least: int = 0) -> list[int]:
+        """The first leaves, best bin first: so many, and more until their sizes add up to least."""
+        near, out, held = 1.0 - self.centres @ point, [], 0
         heap = [(0.0, 0)]
-        while heap and len(out) < leaves:
+        while heap and (len(out) < leaves or held < least):
             _, node = heapq.heappop(heap)
             if below := self.children[node]:
                 for child in below:
                     heapq.heappush(heap, (float(near[child]), child))
             else:
                 out.append(node)
+                held += sizes.get(node, 0) if sizes else 0
         return out
 
     @property
@@ -198,6 +200,7 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, recall: float = RECA
         needed = np.sort([turn[r.query_id][r.leaf] + 1 for r in true])
         if len(needed):
             visits = int(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))) - 1)])
+    sizes = spark.sparkContext.broadcast({r.leaf: r["count"] for r in placed.groupBy("leaf").count().collect()})  # a number a leaf
 
     def go(batches):
         for batch in batches:
@@ -205,7 +208,7 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, recall: float = RECA
             at, group, leaves = [], [], []
             for i, p in enumerate(points):
                 own: dict[int, list[int]] = {}
-                for leaf in shared.value.visit(p, visits):
+                for leaf in shared.value.visit(p, visits, sizes.value, k + 1):  # the query's own row is none of its k
                     own.setdefault(leaf % GROUPS, []).append(leaf)
                 at += [i] * len(own)
                 group += own

@@ -67,6 +67,19 @@ def test_nearest(spark, monkeypatch):
     assert ann.search(df.limit(0)).count() == 0 and ann.search(df.where("vec_id = 0")).count() == 0
 
 
+def test_nearest_of_isolated_vectors(spark, monkeypatch):
+    monkeypatch.setattr(ann, "LEAF_ROWS", 20)
+    rng = np.random.default_rng(4)
+    tight = np.repeat(np.eye(16)[:4], 250, axis=0) + 1e-3 * rng.normal(size=(1000, 16))
+    v = np.concatenate([tight, 5.0 * np.eye(16)[6:14], -np.eye(16)[6:12]])  # 14 isolated ones
+    ids = np.concatenate([50 * np.arange(1000) + 1, 50 * np.arange(14)])  # they alone ask
+    df = spark.createDataFrame([(int(i), [float(x) for x in row]) for i, row in zip(ids, v)], "vec_id long, embedding array<float>")
+    got = Counter(x.query_id for x in ann.search(df, recall=0.0).collect())  # one leaf visited, if rows would not tell
+    assert got == {50 * i: 5 for i in range(14)}
+    few = Counter(x.query_id for x in ann.search(df.where("vec_id % 50 = 0 AND vec_id < 200")).collect())
+    assert few == {50 * i: 3 for i in range(4)}
+
+
 def _components(all_rows):
     def words(t):
         return [w for w in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) if w]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sievework.llm.common import materialize
 from sievework.llm.langid import UNKNOWN, learn, predict, train_rows
 from sievework.llm.line_dedup import dedup_lines
-from sievework.llm.ngram_join import near_duplicates
+from sievework.llm.ngram_join import representatives
 from sievework.llm.packing import pack
 from sievework.llm.pii import pseudonymize
 from sievework.llm.queries import tokenizer_path
@@ -40,10 +40,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the smallest doc_id stays; so does a null
-    doc_id whose group has no other.  Equal rows stay once."""
-    keep = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
-        F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")).distinct()
+    """Of each group of near-duplicates one document stays: the smallest doc_id (null
+    last), then the smallest hash of its text.  Equal rows stay once."""
+    keep = representatives(docs).select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"))
     own = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_i"), F.xxhash64(F.col("text").cast("string")).alias("_t"))
     return own.join(keep, F.col("_i").eqNullSafe(F.col("_d")) & (F.col("_t") == F.col("_h")), "left_semi").dropDuplicates(["_i", "_t"]).select("_row.*")
 

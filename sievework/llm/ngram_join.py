@@ -362,16 +362,8 @@ def _across(long: DataFrame, labels: DataFrame, sizes: DataFrame, texts: DataFra
     return tiles.groupBy("h", "low", "high").applyInArrow(meet, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, threshold: Fraction = Fraction(3, 4)) -> DataFrame:
-    """doc_id, text_hash, n_shingles, component_id of every row of docs.
-
-    component_id is the smallest doc_id reachable by links, the row's own
-    included.  A text without words, or null, has no shingles, links with nothing
-    and is its own component.  Null doc_id take part, and name a component (null)
-    only if all its rows have none.  Rows of one doc_id are documents of their own
-    that share a name.  An empty table gives no rows; columns other than doc_id
-    and text are ignored.
-    """
+def _labelled(docs: DataFrame, threshold: Fraction) -> tuple[DataFrame, DataFrame]:
+    """(the rows of _describe, node and label of the nodes that link)"""
     spark = docs.sparkSession
     docs = bounded_batches(docs).select("doc_id", "text")
     described = materialize(_describe(docs, threshold, _order_counts(docs)), "sets")
@@ -392,6 +384,31 @@ def near_duplicates(docs: DataFrame, threshold: Fraction = Fraction(3, 4)) -> Da
             more = _verify(texts, across, threshold, "links-across")
             if not more.isEmpty():
                 labels = _merge(labels, more)
+    return described, labels
+
+
+def representatives(docs: DataFrame, threshold: Fraction = Fraction(3, 4)) -> DataFrame:
+    """doc_id and text_hash of one row of each component: the smallest doc_id (null
+    last), then the smallest text_hash.  Texts without words, or null, link with
+    nothing: each stands for itself."""
+    described, labels = _labelled(docs, threshold)
+    order = F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "text_hash")
+    named = described.where("node IS NOT NULL").groupBy("node").agg(F.min(order).alias("first")).join(labels, "node", "left")
+    first = named.groupBy(F.coalesce("label", "node").alias("label")).agg(F.min("first").alias("first")).select("first.doc_id", "first.text_hash")
+    return first.unionByName(described.where("node IS NULL").select("doc_id", "text_hash").distinct())
+
+
+def near_duplicates(docs: DataFrame, threshold: Fraction = Fraction(3, 4)) -> DataFrame:
+    """doc_id, text_hash, n_shingles, component_id of every row of docs.
+
+    component_id is the smallest doc_id reachable by links, the row's own
+    included.  A text without words, or null, has no shingles, links with nothing
+    and is its own component.  Null doc_id take part, and name a component (null)
+    only if all its rows have none.  Rows of one doc_id are documents of their own
+    that share a name.  An empty table gives no rows; columns other than doc_id
+    and text are ignored.
+    """
+    described, labels = _labelled(docs, threshold)
     named = described.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("own")).join(labels, "node", "left").select("node", "own", F.coalesce("label", "node").alias("label"))
     least = named.groupBy("label").agg(F.min("own").alias("component_id"))
     of = named.join(least, "label").select("node", "component_id")

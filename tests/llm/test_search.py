@@ -134,6 +134,38 @@ def test_join(spark, docs, none, monkeypatch, short, tile):
     assert ngram_join.near_duplicates(none).count() == 0
 
 
+def _groups(texts):
+    """A number for each text with words, the same within a component; None without words."""
+    words = [(t or "").split() for t in texts]
+    sets = [{tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in words]
+    group = [i if x else None for i, x in enumerate(sets)]
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a and sets[j] and group[i] != group[j] and 4 * len(a & sets[j]) >= 3 * len(a | sets[j]):
+                old = group[i]
+                group = [group[j] if g == old else g for g in group]
+    return group
+
+
+def test_one_document_of_each_group_stays(spark):
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+
+    near = [x[1] for x in _near_rows()]
+    third = [(None if i % 3 == 0 else i, t) for i, t in enumerate(near)]
+    alone = [(None, t) for t in near]  # no group has an id
+    same = [(i // 5, t) for i, t in enumerate(near)] + [(0, None), (0, ""), (None, ""), (None, "")]  # near-duplicates under one id
+    for all_rows in (third, alone, same):
+        df = spark.createDataFrame(all_rows, "doc_id long, text string").repartition(3)
+        hashes = {r.text: r.h for r in df.select("text", F.xxhash64("text").alias("h")).collect()}
+        of = _groups([t for _, t in all_rows])
+        groups = defaultdict(list)
+        for i, (d, t) in enumerate(all_rows):
+            groups[(d, t) if of[i] is None else of[i]].append((d is None, d or 0, hashes[t], d, t))
+        want = Counter(min(g)[3:] for g in groups.values())
+        assert Counter((x.doc_id, x.text) for x in corpus_pipeline.ngram_jaccard(spark, df, "").collect()) == want
+
+
 def test_bitmaps_never_lose_a_link():
     rng = np.random.default_rng(2)
     from fractions import Fraction

@@ -87,7 +87,7 @@ def q_instruction_audit(t):
 SELECT doc_id, stage, CASE WHEN secret THEN 'secret_material' WHEN stage IN ('frontend','review') AND length(text) > 12000 THEN 'code_too_long' WHEN stage <> 'frontend' AND active THEN 'active_payload' END AS violation FROM s""")
 def q_stage_safety(t):
     stage = F.element_at(F.array(*map(F.lit, ["plan", "tool_policy", "frontend", "review", "security"])), (F.col("doc_id") % 5 + 1).cast("int"))
-    return t.documents.select("doc_id", stage.alias("stage"), S.stage_violation(stage, F.col("text"), F.col("text"), F.lit("")).alias("violation"))
+    return t.documents.select("doc_id", stage.alias("stage"), S.stage_violation(stage, F.col("text"), F.col("text"), F.col("text")).alias("violation"))
 
 
 @query(r"""SELECT page_id, CASE WHEN regexp_matches(html, '(?i)\s+aria-label\s*=\s*("[^"'']+"|''[^"'']+'')') THEN 'remove_literal_aria_label'

@@ -41,6 +41,18 @@ def test_secrets(spark):
     assert r.n == 3 and "script" not in r.t.lower().replace("defensive", "")
 
 
+def test_stage_safety_fires_every_rule(spark, tmp_path):
+    from sievework import queries as Q
+
+    long = "x" * (S.CODE_LIMIT + 1)
+    cases = [("password = hunter22x", [0, 1, 2, 3, 4], "secret_material"), ("<script>", [0, 1, 3, 4], "active_payload"), (long, [2, 3], "code_too_long"),
+             ("el.innerHTML = x", [4], "unsafe_reviewed_code"), ('<b onclick="f()">', [4], "unsafe_reviewed_code"), ("<b onClick={f}>", [], None), ("plain", [], None)]
+    rows = [(5 * i + stage, text) for i, (text, _, _) in enumerate(cases) for stage in range(5)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.violation for r in Q.queries()["q_stage_safety"](spark, str(tmp_path)).collect()}
+    assert got == {5 * i + stage: code if stage in stages else None for i, (_, stages, code) in enumerate(cases) for stage in range(5)}
+
+
 def test_labels(spark):
     assert one(spark, "[pass] ok", L.security_decision) == "PASS" and one(spark, "[PASS] [BLOCK]", L.security_decision) is None
     assert one(spark, '{"decision":"block"}', L.security_decision) == "BLOCK" and one(spark, '{"decision":"maybe"}', L.security_decision) is None

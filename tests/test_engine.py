@@ -133,6 +133,15 @@ def test_leakage_without_content(spark):
     assert not any(str(v) in held + train for r in out for v in r)
 
 
+def test_leakage_in_blocks(spark, monkeypatch):
+    texts = [" ".join(f"w{i * 7 + k}" for k in range(12)) for i in range(30)]
+    h = spark.createDataFrame([*enumerate(texts), (3, texts[3]), (40, None), (41, "")], "id long, text string")
+    t = spark.createDataFrame([(x + " tail",) for x in texts[::2]] + [("w0 " + texts[1],), ("nothing alike",)], "text string")
+    whole = sorted(map(tuple, K.collisions(h, t).collect()), key=str)
+    monkeypatch.setattr(K, "MOST_NEEDLES", 10)
+    assert sorted(map(tuple, K.collisions(h, t).collect()), key=str) == whole and len(whole) >= 16
+
+
 def test_jsonl(spark, tmp_path):
     path = tmp_path / "log.jsonl"
     path.write_text('{"id": "a", "n": 1}\n\n{"id": "b", "n": true}\nnot json\n[1]\n')

@@ -142,6 +142,18 @@ def test_leakage_in_blocks(spark, monkeypatch):
     assert sorted(map(tuple, K.collisions(h, t).collect()), key=str) == whole and len(whole) >= 16
 
 
+def test_contains_probe_compares_whole_texts(spark, tmp_path):
+    from sievework import queries as Q
+
+    opening = "An opening of more than forty characters, which "
+    items = [(0, opening + "goes on like this"), (1, opening + "goes on otherwise"), (2, ""), (3, None)]
+    docs = [(10, "so: " + items[0][1].upper()), (11, items[1][1] + "."), (12, opening + "ends"), (13, "")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r.item_id, r.doc_id) for r in Q.queries()["q_contains_probe"](spark, str(tmp_path)).collect()}
+    assert got == {(0, 10), (1, 11)}
+
+
 def test_jsonl(spark, tmp_path):
     path = tmp_path / "log.jsonl"
     path.write_text('{"id": "a", "n": 1}\n\n{"id": "b", "n": true}\nnot json\n[1]\n')

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,20 +13,54 @@ from pyspark.sql import functions as F
 _INDEX_BITS = 33
 
 
-#: Rows of an Arrow batch.  Texts may be very long, so the usual 10,000 would hold
-#: too much of an executor's memory.
+#: Rows and bytes of an Arrow batch.  Texts may be very long, so the usual 10,000
+#: rows would hold too much of an executor's memory.
 BATCH_ROWS = 1000
+BATCH_BYTES = 16 << 20
 
 
 def bounded_batches(df: DataFrame) -> DataFrame:
-    """df, whose session from now on passes at most BATCH_ROWS rows to Python at once."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    """df, whose session from now on passes at most BATCH_ROWS rows and about
+    BATCH_BYTES bytes to Python at once (one longer text goes by itself).  Smaller
+    settings of the session's own stay."""
     conf = df.sparkSession.conf
-    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
-        conf.set(name, str(BATCH_ROWS))
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{name}"
+        if not 0 < int(str(conf.get(name)).rstrip("bB")) <= most:
+            conf.set(name, str(most))
     return df
 
 
+#: Bytes that a Python worker's memo holds, about; bytes of an entry (a slot and two
+#: small objects); the longest key that it keeps.
+MEMO_BYTES = 128 << 20
+_ENTRY = 160
+MEMO_KEY = 40
+
+
+class Memo(dict):
+    """make(key) of the keys asked for lately.
+
+    Two generations of half the budget each: when the young one is full it becomes
+    the old one, and what is asked for again moves back.  Long keys are not kept.
+    """
+
+    def __init__(self, make: Callable, budget: int = MEMO_BYTES):
+        super().__init__()
+        self.make, self.room, self.old = make, budget // 2 // _ENTRY, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= MEMO_KEY:
+            if len(self) >= self.room:
+                self.old = dict(self)
+                self.clear()
+            self[key] = value
+        return value
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder of spark.checkpoint.dir; where it is unset (tests), a
     temporary one, which is then set for the session."""

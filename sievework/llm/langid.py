@@ -10,6 +10,8 @@ profile less that mean.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -46,13 +48,18 @@ def _fold_table() -> np.ndarray:
     return out
 
 
+@functools.lru_cache(maxsize=1)
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """Letter vectors and numbers, small: a worker keeps them."""
+    return letter_table(), _fold_table()
+
+
 class Profiles:
-    """Texts to vectors.  Built once in a worker."""
+    """Texts to vectors.  Built anew in each task, so that a worker's other tasks have its memory."""
 
     def __init__(self):
-        letters = letter_table()
+        letters, self.fold = _tables()
         self.first, self.second, self.third = np.roll(letters, 2, 1), np.roll(letters, 1, 1), letters
-        self.fold = _fold_table()
         self.row: dict[int, int] = {}
         self.vectors = np.empty((_KEPT, DIMENSIONS), np.float32)
 
@@ -96,16 +103,6 @@ class Profiles:
         return total / size if size else total
 
 
-_profiles: Profiles | None = None
-
-
-def profiles() -> Profiles:
-    global _profiles
-    if _profiles is None:
-        _profiles = Profiles()
-    return _profiles
-
-
 def _fold_of(doc_id) -> F.Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4))
 
@@ -124,7 +121,7 @@ def learn(labelled: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndar
     rate = F.create_map(*[F.lit(x) for pair in rates for x in pair])
 
     def add(batches):
-        p, total = profiles(), {}
+        p, total = Profiles(), {}
         for batch in batches:
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 v = p.profile(text)
@@ -159,7 +156,7 @@ def predict(docs: DataFrame, languages: list[str], prototypes: np.ndarray, mean:
 
     def run(batches):
         names, table, middle = shared.value
-        p = profiles()
+        p = Profiles()
         for batch in batches:
             found, scores = [], []
             held = batch.column(batch.num_columns - 1)

@@ -23,26 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import Memo, bounded_batches
 
-#: Words that a worker remembers.  When full it starts anew.
-MEMORY_WORDS = 1_200_000
 _BLANK = "▁"
 _RUNS = re.compile(f"{_BLANK}*[^{_BLANK}]+|{_BLANK}+")
 
 
-class _Words(dict):
-    def __init__(self, codec: Codec):
-        super().__init__()
-        self.codec = codec
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= MEMORY_WORDS:
-            self.clear()
-        value = self[word] = self.codec.segments(word if word[:1] == "\n" else _BLANK + word)
-        return value
-
-
 class Codec:
     """Encodes and decodes like the library's merge-type model at path."""
 
@@ -74,8 +60,9 @@ class Codec:
             if len(p) == 1 or self.joined(p) == [p]:
                 self.automaton.add_word(p, p)
         self.automaton.make_automaton()
-        self.fits: dict[tuple[str, str], bool] = {}
-        self.words, self.parts = _Words(self), {}
+        self.fits = Memo(lambda pair: self.fit(*pair), 32 << 20)
+        self.words = Memo(lambda word: self.segments(word if word[:1] == "\n" else _BLANK + word))
+        self.parts = Memo(lambda part: self.segment(part) if part[0] in self.id else [self.byte[b] for b in part.encode()], 64 << 20)
 
     def joined(self, text: str) -> list[str]:
         """Pieces of a short string by merging the best pair again and again."""
@@ -118,12 +105,7 @@ class Codec:
                 if before:
                     if (left := last[before]) is None:
                         continue
-                    known = fits.get((left, token))
-                    if known is None:
-                        if len(fits) >= MEMORY_WORDS:
-                            fits.clear()
-                        known = fits[left, token] = self.fit(left, token)
-                    if not known:
+                    if not fits[left, token]:
                         continue
                 last[end + 1] = token
         out, at = [], len(text)
@@ -138,14 +120,7 @@ class Codec:
         out, start = [], 0
         for k in range(1, len(text) + 1):
             if k == len(text) or text[k - 1:k + 1] not in self.pairs:
-                part = text[start:k]
-                ids = self.parts.get(part)
-                if ids is None:
-                    ids = self.segment(part) if part[0] in self.id else [self.byte[b] for b in part.encode()]
-                    if len(self.parts) >= MEMORY_WORDS:
-                        self.parts.clear()
-                    self.parts[part] = ids
-                out += ids
+                out += self.parts[text[start:k]]
                 start = k
         return array.array("H" if len(self.text) <= 65536 else "I", out).tobytes()
 

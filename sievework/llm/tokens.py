@@ -14,8 +14,8 @@ import functools
 
 import numpy as np
 
-#: Words that a worker remembers.  When full it starts anew.
-MEMORY_WORDS = 1_200_000
+from .common import Memo
+
 _MARKS = ".,;:!?$%&*#"
 
 
@@ -30,23 +30,12 @@ def _byte_letters() -> dict[int, str]:
 _TABLE = str.maketrans({chr(b): c for b, c in _byte_letters().items()})
 
 
-class _Odd(Exception):
-    """This text can't be split by single blanks."""
-
-
-class _Memory(dict):
-    """word -> bytes of its ids (native unsigned ints of the encoder's width)."""
+#: What a blank is there.
+_BLANK = " ".translate(_TABLE)
 
-    def __init__(self, encoder: Encoder):
-        super().__init__()
-        self.encoder = encoder
 
-    def __missing__(self, word: str) -> bytes:
-        value = self.encoder.miss(word)
-        if len(self) >= MEMORY_WORDS:
-            self.clear()
-        self[word] = value
-        return value
+class _Odd(Exception):
+    """This text can't be split by single blanks."""
 
 
 class Encoder:
@@ -63,7 +52,11 @@ class Encoder:
         #: Whether white space vanishes and case is folded, or blanks begin words.
         self.drops_space = ids("a b") == ids("a") + ids("b")
         self.folds = ids("AB") == ids("ab")
-        self.memory = _Memory(self)
+        #: word -> bytes of its ids (native unsigned ints of the encoder's width).
+        self.memory = Memo(self.miss)
+        #: Runs of marks are few.
+        self.marks = Memo(self.whole, 1 << 20)
+        self.newline = b"" if self.drops_space else self.whole("\n")
 
     def pack(self, ids: list[int]) -> bytes:
         return array.array(self.code, ids).tobytes()
@@ -73,42 +66,54 @@ class Encoder:
 
     def word(self, text: str) -> bytes:
         """A word that the vocabulary splits no further: straight to its merges."""
-        return self.pack([t.id for t in self.model.tokenize(text.encode().decode("latin-1").translate(_TABLE))])
+        letters = text.encode().decode("latin-1").translate(_TABLE) if not text.isascii() else _BLANK + text[1:] if text[0] == " " else text
+        return array.array(self.code, [t.id for t in self.model.tokenize(letters)]).tobytes()
 
     def miss(self, word: str) -> bytes:
         if not word:
             return b"" if self.drops_space else self.whole(" ")
-        if not self.drops_space:
-            lead = "" if word[0] == "\n" else " "
-            if word != "\n" and any(c.isspace() for c in word[len(word) > 1:]):
-                raise _Odd
         base = word.rstrip(_MARKS)
-        if base and base[-1] < "Ā" and base[-1].isalpha():
+        begins = not self.drops_space and word[0] == "\n"
+        bare = base[1:] if begins else base
+        if bare.isalpha() and (bare.isascii() or max(bare) < "Ā"):
             if base != word:
                 # Marks after a letter are a split of their own.
-                return self.memory[base] + (self.whole(word[len(base):]) if not self.drops_space else self.memory[word[len(base):]])
-            if base.isalpha() and max(base) < "Ā":
-                if not self.drops_space:
-                    return self.word(lead + base)
-                if self.folds and (low := base.lower()) != base:
-                    return self.memory[low]
-                return self.word(base)
-        return self.whole(word if self.drops_space else lead + word)
-
-    def encode(self, text: str | None) -> np.ndarray:
-        """The ids; null is an empty text."""
+                return self.memory[base] + self.marks[word[len(base):]]
+            if begins:
+                return self.newline + self.word(bare)
+            if not self.drops_space:
+                return self.word(" " + bare)
+            if self.folds and (low := bare.lower()) != bare:
+                return self.memory[low]
+            return self.word(bare)
+        if not self.drops_space:
+            if word != "\n" and any(c.isspace() for c in word[len(word) > 1:]):
+                raise _Odd
+            if base and base != word and base[-1] < "Ā" and base[-1].isalpha():
+                return self.memory[base] + self.marks[word[len(base):]]
+            return self.whole(word if begins else " " + word)
+        if base and base != word and base[-1] < "Ā" and base[-1].isalpha():
+            return self.memory[base] + self.marks[word[len(base):]]
+        return self.whole(word)
+
+    def raw(self, text: str | None) -> bytes:
+        """The ids as native unsigned ints of the encoder's width; null is an empty text."""
         if not text:
-            return np.empty(0, self.dtype)
+            return b""
         get = self.memory.__getitem__
         if self.drops_space:
-            return np.frombuffer(b"".join(map(get, text.replace("\n", " ").split(" "))), self.dtype)
+            return b"".join(map(get, text.replace("\n", " ").split(" ")))
         if "  " not in text and "\n\n" not in text and " \n" not in text and "\n " not in text:
             first, *rest = text.replace("\n", " \n").split(" ")
             try:
-                return np.frombuffer(b"".join([self.whole(first) if first else b"", *map(get, rest)]), self.dtype)
+                return b"".join([self.whole(first) if first else b"", *map(get, rest)])
             except _Odd:
                 pass
-        return np.frombuffer(self.whole(text), self.dtype)
+        return self.whole(text)
+
+    def encode(self, text: str | None) -> np.ndarray:
+        """The ids; null is an empty text."""
+        return np.frombuffer(self.raw(text), self.dtype)
 
 
 @functools.lru_cache(maxsize=4)

@@ -35,14 +35,19 @@ def build(ids: np.ndarray, doc_ids: list, lengths: list[int], bits: int) -> byte
 
     pack = zstandard.ZstdCompressor(level=1).compress
     planes, zeros = [], []
+    one = ids.dtype.type(1)
     for k in range(bits - 1, -1, -1):
-        bit = (ids >> k) & 1 != 0
+        bit = (ids & (one << ids.dtype.type(k))).astype(bool)
         raw = np.packbits(bit)
         ones = np.add.reduceat(np.bitwise_count(raw), np.arange(0, len(raw), _BLOCK // 8), dtype=np.uint32) if len(raw) else np.empty(0, np.uint32)
         planes += [pack(raw.tobytes()), pack((np.cumsum(ones, dtype=np.uint32) - ones).astype("<u4").tobytes())]
-        low = ids[~bit]
-        zeros.append(len(low))
-        ids = np.concatenate([low, ids[bit]])
+        zeros.append(len(ids) - int(np.count_nonzero(bit)))
+        if k:
+            next_ids = np.empty_like(ids)
+            next_ids[zeros[-1]:] = ids[bit]
+            np.logical_not(bit, out=bit)
+            next_ids[:zeros[-1]] = ids[bit]
+            ids = next_ids
     head = json.dumps({"n": len(ids), "bits": bits, "zeros": zeros, "sizes": [len(p) for p in planes], "doc_ids": doc_ids, "lengths": lengths}).encode()
     head = pack(head)
     return _MAGIC + struct.pack("<I", len(head)) + head + b"".join(planes)
@@ -154,25 +159,25 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
     def encode(batches):
         enc, pid, number = encoder(tokenizer_path), TaskContext.get().partitionId(), 0
         bits = max(enc.tokenizer.get_vocab_size() - 1, end_id, 1).bit_length()
-        end = np.array([end_id], enc.dtype)
-        ids, doc_ids, lengths, held = [], [], [], 0
+        end, width = np.array([end_id], enc.dtype).tobytes(), np.dtype(enc.dtype).itemsize
+        ids, doc_ids, lengths = bytearray(), [], []
 
         def file():
-            payload = build(np.concatenate(ids), doc_ids, lengths, bits)
+            payload = build(np.frombuffer(ids, enc.dtype), doc_ids, lengths, bits)
             return pa.RecordBatch.from_arrays([pa.array([pid << 32 | number], pa.int64()), pa.array([payload], pa.binary())], ["file_no", "payload"])
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own = enc.encode(text)
-                ids += [own, end]
+                before = len(ids)
+                ids += enc.raw(text)
+                ids += end
                 doc_ids.append(doc_id)
-                lengths.append(len(own) + 1)
-                held += len(own) + 1
-                if held >= FILE_TOKENS:
+                lengths.append((len(ids) - before) // width)
+                if len(ids) >= FILE_TOKENS * width:
                     yield file()
                     number += 1
-                    ids, doc_ids, lengths, held = [], [], [], 0
-        if held:
+                    ids, doc_ids, lengths = bytearray(), [], []
+        if doc_ids:
             yield file()
 
     keys = [F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()]

@@ -3,10 +3,12 @@
 A set is a text's distinct five-word shingles; equal sets are one node.  Two sets
 link when |A and B| / |A or B| reaches the threshold.
 
-1. Each node lists its first n - ceil(t * n) + 1 shingles in one global order;
-   linked nodes share one of them.  The order puts frequent shingles last (by
-   counts of all documents in a fixed number of hash cells), so lists of common
-   shingles stay short; what is still frequent is split by salts.
+1. Shingles are dealt by hash to parts, which count the nodes of each and keep
+   those of two nodes at least; these return to their nodes.  Each node lists its
+   first n - ceil(t * n) + 1 shingles, rarest first; linked nodes share one of
+   them.  Shingles of one node come first and need no entry, so most nodes have
+   none.  What very many nodes hold (by counts of all documents in hash cells) is
+   not dealt to one part: it comes last in the order and is split by salts.
 2. In the list of a shingle, nodes sorted by size are compared by tiles of one
    size band: short lists pair by pair, long ones with the band's first node only
    (copies of a text need not meet all pairs).
@@ -30,12 +32,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialize
+from .common import bounded_batches, discard, materialize
 from .shingles import mix, shingles
 
-#: Hash cells of the frequency order: a fixed size, whatever the corpus.
+#: Hash cells in which very frequent shingles are found: a fixed size, whatever the corpus.
 CELLS = 1 << 20
 _CELL_BLOCKS = 16
+#: A cell of so many entries, and of twice the mean, is split by salts.
+HOT = 1 << 16
+#: Entries that a part is meant to count.
+PART = 2_000_000
+#: Entries that a task holds before it deals them out.
+_BLOCK = 1_000_000
+#: Nodes that a task remembers, so that their copies are not described again.
+_SEEN = 200_000
 #: Lists of up to so many nodes are compared pair by pair at once.
 SHORT = 12
 #: Nodes of a tile in the last comparison; a salt is meant to hold as many.
@@ -73,17 +83,47 @@ def _cells(s: np.ndarray) -> np.ndarray:
     return (s >> np.uint64(64 - CELLS.bit_length() + 1)).astype(np.int64)
 
 
-def _order_counts(docs: DataFrame) -> np.ndarray:
-    """Shingle counts over all documents in CELLS hash cells."""
+def node_of(s: np.ndarray) -> int | None:
+    """A set's 64-bit name; equal sets share it."""
+    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) if len(s) else None
+
 
-    def count(batches):
-        total = np.zeros(CELLS, np.int64)
+def _describe(docs: DataFrame) -> DataFrame:
+    """A row a document: doc_id, text_hash, node (null: no words), n and, once for a
+    node and task, bits.  Besides, rows with block and counts: a task's entries by cell."""
+    names = ["doc_id", "text_hash", "node", "n", "bits", "block", "counts"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
+
+    def run(batches):
+        seen, total = set(), np.zeros(CELLS, np.int64)
         for batch in batches:
-            found = [_cells(shingles(text)) for text in batch.column(0).to_pylist()]
-            if found:
-                total += np.bincount(np.concatenate(found), minlength=CELLS)
-        blocks = total.reshape(_CELL_BLOCKS, -1)
-        yield pa.RecordBatch.from_arrays([pa.array(range(_CELL_BLOCKS), pa.int32()), pa.array([b.tobytes() for b in blocks], pa.binary())], ["block", "counts"])
+            node, n, bits, cells = [], [], [], []
+            for text in batch.column(1).to_pylist():
+                s = shingles(text)
+                own = node_of(s)
+                node.append(own)
+                n.append(len(s))
+                if own is None or own in seen:
+                    bits.append(None)
+                    continue
+                if len(seen) >= _SEEN:
+                    seen.clear()
+                seen.add(own)
+                bits.append(bitmap(s))
+                cells.append(_cells(s))
+            if cells:
+                total += np.bincount(np.concatenate(cells), minlength=CELLS)
+            columns = [batch.column(0), batch.column(2), *(pa.array(c, k) for c, k in zip((node, n, bits), kinds[2:])), *(pa.nulls(len(n), k) for k in kinds[5:])]
+            yield pa.RecordBatch.from_arrays(columns, names)
+        blocks = [b.tobytes() for b in total.reshape(_CELL_BLOCKS, -1)]
+        yield pa.RecordBatch.from_arrays([*(pa.nulls(_CELL_BLOCKS, k) for k in kinds[:5]), pa.array(range(_CELL_BLOCKS), pa.int32()), pa.array(blocks, pa.binary())], names)
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64(F.col("text").cast("string"))).mapInArrow(
+        run, "doc_id long, text_hash long, node long, n long, bits binary, block int, counts binary")
+
+
+def _cell_counts(described: DataFrame) -> np.ndarray:
+    """Entries of all documents in CELLS hash cells."""
 
     def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(CELLS // _CELL_BLOCKS, np.int64)
@@ -92,74 +132,206 @@ def _order_counts(docs: DataFrame) -> np.ndarray:
                 total += np.frombuffer(raw, np.int64)
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["block", "counts"])
 
-    blocks = docs.select(F.col("text").cast("string")).mapInArrow(count, "block int, counts binary").groupBy("block").applyInArrow(
+    blocks = described.where("block IS NOT NULL").select("block", "counts").groupBy("block").applyInArrow(
         add, "block int, counts binary").collect()  # CELLS numbers, whatever the corpus
     return np.concatenate([np.frombuffer(bytes(r.counts), np.int64) for r in sorted(blocks, key=lambda r: r.block)]) if blocks else np.zeros(CELLS, np.int64)
 
 
-def node_of(s: np.ndarray) -> int | None:
-    """A set's 64-bit name; equal sets share it."""
-    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) if len(s) else None
+def _scaled(x: np.ndarray, parts: int) -> np.ndarray:
+    """x * parts / 2 ** 32 of 64-bit x, in whole numbers: the part of equal ranges that x
+    falls into, and 32 bits of where it lies there.  It keeps the order of x."""
+    high, low, n = x >> np.uint64(32), x & np.uint64(0xFFFFFFFF), np.uint64(parts)
+    return (high * n + (low * n >> np.uint64(32))).astype(np.int64)
+
+
+def _bucket(node: np.ndarray, parts: int) -> np.ndarray:
+    return _scaled(node.view(np.uint64), parts) >> 32
+
+
+def _grouped(x: np.ndarray) -> np.ndarray:
+    """A stable order by small whole numbers."""
+    return np.argsort(x.astype(np.uint16) if not len(x) or x.max() < 1 << 16 else x, kind="stable")
 
 
-def _describe(docs: DataFrame, t: Fraction, counts: np.ndarray) -> DataFrame:
-    """A row a document: doc_id, text_hash, node (null: no words), n; and, once for a
-    node and task, prefix, salts (-1: the list is not split) and bits."""
-    mean = max(1.0, counts.mean())
-    rank = np.log2(np.maximum(counts / mean, 1.0)).astype(np.uint8)
-    shared = docs.sparkSession.sparkContext.broadcast((rank, counts // TILE))  # 9 bytes a cell
+def _runs(x: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.empty(0, np.int64)
+
+
+_DEALT = {"counted": pa.bool_(), "to": pa.int32(), "part": pa.int32(), "nodes": pa.binary(), "sizes": pa.binary(), "runs": pa.binary(), "h": pa.binary(), "more": pa.binary()}
+_DEALT_FIELDS = "counted boolean, to int, part int, nodes binary, sizes binary, runs binary, h binary, more binary"
+
+
+def _dealt(rows: list[tuple]) -> pa.RecordBatch:
+    columns = zip(*rows) if rows else [[]] * len(_DEALT)
+    return pa.RecordBatch.from_arrays([pa.array([x.tobytes() if isinstance(x, np.ndarray) else x for x in c], k) for c, k in zip(columns, _DEALT.values())], list(_DEALT))
+
+
+def _postings(docs: DataFrame, counts: np.ndarray, parts: int) -> DataFrame:
+    """Binary rows of many entries each.
+
+    counted false, to a part: nodes, runs (entries of each) and h, the low 32 bits of
+    their shingles, still to be counted.  counted true, to a bucket of nodes: nodes,
+    their sizes (shingles; distinct ones as dealt) and, if they hold very frequent
+    shingles, runs, h (part and low bits) and more (a salt each).
+    """
+    salts = np.where(counts > max(HOT, 2 * counts.mean()), counts // TILE, 0)
+    shared = docs.sparkSession.sparkContext.broadcast(salts)  # 8 bytes a cell
+
+    def deal(held: list[tuple[int, np.ndarray]]):
+        """The rows of a block of nodes."""
+        split = shared.value
+        node = np.array([k for k, _ in held], np.int64)
+        size = np.array([len(s) for _, s in held], np.int64)
+        h = np.concatenate([s for _, s in held])
+        of = np.repeat(np.arange(len(held)), size)
+        h, cell = _scaled(h, parts), _cells(h)
+        fresh = np.append(True, (of[1:] != of[:-1]) | (h[1:] != h[:-1]))  # sets are sorted
+        of, h, cell = of[fresh], h[fresh], cell[fresh]
+        distinct = np.bincount(of, minlength=len(held))
+        hot = split[cell] > 0
+        bucket = _bucket(node, parts)
+        by_bucket = _grouped(bucket)
+        lines = []
+        for at in np.split(by_bucket, _runs(bucket[by_bucket])[1:]):
+            lines.append((True, int(bucket[at[0]]), None, node[at], np.stack([size[at], distinct[at]], 1).astype(np.uint32), None, None, None))
+        if hot.any():
+            k = np.flatnonzero(hot)
+            k = k[_grouped(bucket[of[k]])]
+            own, where = node[of[k]], bucket[of[k]]
+            salt = (own % split[cell[k]]).astype(np.int32)
+            for at in np.split(np.arange(len(k)), _runs(where)[1:]):
+                lines.append((True, int(where[at[0]]), None, own[at], None, np.ones(len(at), np.uint32), h[k[at]], salt[at]))
+            of, h = of[~hot], h[~hot]
+        if len(of):
+            by_part = _grouped(h >> 32)  # within a part nodes stay together
+            of, part, low = of[by_part], h[by_part] >> 32, h[by_part].astype(np.uint32)
+            first = _runs(part * np.int64(len(held)) + of)
+            length = np.diff(np.append(first, len(of))).astype(np.uint32)
+            begin = _runs(part)
+            run_at = np.searchsorted(first, np.append(begin, len(of)))
+            for i, (a, b) in enumerate(zip(begin, np.append(begin[1:], len(of)))):
+                r = slice(run_at[i], run_at[i + 1])
+                lines.append((False, int(part[a]), int(part[a]), node[of[first[r]]], None, length[r], low[a:b], None))
+        return _dealt(lines)
 
     def run(batches):
-        order, parts = shared.value
-        seen: set[int] = set()
+        seen, held, entries = set(), [], 0
         for batch in batches:
-            node, n, prefix, split, bits = [], [], [], [], []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(0).to_pylist():
                 s = shingles(text)
                 own = node_of(s)
-                node.append(own)
-                n.append(len(s))
                 if own is None or own in seen:
-                    prefix.append(None), split.append(None), bits.append(None)
                     continue
-                if len(seen) >= 1_000_000:
+                if len(seen) >= _SEEN:
                     seen.clear()
                 seen.add(own)
-                cell = _cells(s)
-                first = np.argsort(order[cell], kind="stable")[:len(s) - _least(len(s), t) + 1]
-                of = parts[cell[first]]
-                prefix.append(s[first].tobytes())
-                split.append(np.where(of > 0, own % np.maximum(of, 1), -1).astype(np.int32).tobytes() if of.any() else None)
-                bits.append(bitmap(s))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(prefix, pa.binary()), pa.array(split, pa.binary()), pa.array(bits, pa.binary())],
-                ["doc_id", "text_hash", "node", "n", "prefix", "salts", "bits"])
+                held.append((own, s))
+                entries += len(s)
+                if entries >= _BLOCK:
+                    yield deal(held)
+                    held, entries = [], 0
+        if held:
+            yield deal(held)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64(F.col("text").cast("string"))).mapInArrow(
-        run, "doc_id long, text_hash long, node long, n long, prefix binary, salts binary, bits binary")
+    return docs.select(F.col("text").cast("string")).mapInArrow(run, _DEALT_FIELDS)
 
 
-def _lists(described: DataFrame, t: Fraction, parts: int) -> DataFrame:
-    """kind 0: a candidate pair (a, b); 1: node a of n = b in a long list of shingle h;
-    2: the same, first of its size band in one salt's part of a split list."""
+def _counted(postings: DataFrame, parts: int) -> DataFrame:
+    """Counted rows only, to buckets of nodes: of each part, the shingles of two nodes at
+    least; more: in how many, up to 65534."""
 
-    def spread(batches):
-        """(h, salt, node, n) in few large batches."""
-        names = ["h", "salt", "node", "n"]
+    def count(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if key[0].as_py():
+            yield from batches
+            return
+        part, nodes, h = key[1].as_py(), [], []
         for batch in batches:
-            h, salt, node, n, rows = [], [], [], [], 0
-            for own, size, prefix, salts in zip(*(c.to_pylist() for c in batch.columns)):
-                h.append(np.frombuffer(prefix, np.int64))
-                k = len(h[-1])
-                salt.append(np.frombuffer(salts, np.int32) if salts else np.full(k, -1, np.int32))
-                node.append(np.full(k, own, np.int64))
-                n.append(np.full(k, size, np.int64))
-                rows += k
-                if rows >= 200_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (h, salt, node, n)], names)
-                    h, salt, node, n, rows = [], [], [], [], 0
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (h, salt, node, n)], names)
+            for own, runs, low in zip(*(batch.column(c).to_pylist() for c in ("nodes", "runs", "h"))):
+                nodes.append(np.repeat(np.frombuffer(own, np.int64), np.frombuffer(runs, np.uint32)))
+                h.append(np.frombuffer(low, np.uint32))
+        if not h:
+            return
+        packed = np.concatenate(h).astype(np.uint64) << np.uint64(32)
+        del h
+        packed |= np.arange(len(packed), dtype=np.uint64)
+        packed.sort()
+        low, at = (packed >> np.uint64(32)).astype(np.uint32), (packed & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        del packed
+        again = low[1:] == low[:-1]
+        kept = np.append(again, False) | np.append(False, again)
+        low, node = low[kept], np.concatenate(nodes)[at[kept]]
+        order = np.lexsort((node, low))
+        low, node = low[order], node[order]
+        if not len(low):
+            return
+        fresh = np.append(True, (low[1:] != low[:-1]) | (node[1:] != node[:-1]))
+        low, node = low[fresh], node[fresh]
+        begin = _runs(low)
+        times = np.diff(np.append(begin, len(low)))
+        many = np.repeat(times, times)
+        low, node, many = low[many > 1], node[many > 1], np.minimum(many[many > 1], 65534).astype(np.uint16)
+        order = np.argsort(node.view(np.uint64), kind="stable")
+        low, node, many = low[order], node[order], many[order]
+        first = _runs(node)
+        length = np.diff(np.append(first, len(node))).astype(np.uint32)
+        bucket = _bucket(node[first], parts)
+        begin = _runs(bucket)
+        edge = np.append(first, len(node))
+        rows = []
+        for a, b in zip(begin, np.append(begin[1:], len(first))):
+            k = slice(edge[a], edge[b])
+            rows.append((True, int(bucket[a]), part, node[first[a:b]], None, length[a:b], low[k], many[k]))
+        yield _dealt(rows)
+
+    return postings.groupBy("counted", "to").applyInArrow(count, _DEALT_FIELDS)
+
+
+def _prefixes(counted: DataFrame, t: Fraction) -> DataFrame:
+    """h, salt (-1: the list is not split), node, n of each node's first shingles that other nodes hold."""
+
+    def choose(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base_node, base, node, h, many, salt = [], [], [], [], [], []
+        for batch in batches:
+            for part, own, sizes, runs, low, more in zip(*(batch.column(c).to_pylist() for c in ("part", "nodes", "sizes", "runs", "h", "more"))):
+                own = np.frombuffer(own, np.int64)
+                if sizes is not None:
+                    base_node.append(own)
+                    base.append(np.frombuffer(sizes, np.uint32).reshape(-1, 2))
+                    continue
+                node.append(np.repeat(own, np.frombuffer(runs, np.uint32)))
+                if part is None:
+                    h.append(np.frombuffer(low, np.int64))
+                    salt.append(np.frombuffer(more, np.int32))
+                    many.append(np.full(len(h[-1]), 65535, np.uint16))
+                else:
+                    h.append(np.frombuffer(low, np.uint32).astype(np.int64) | np.int64(part) << 32)
+                    many.append(np.frombuffer(more, np.uint16))
+                    salt.append(np.full(len(h[-1]), -1, np.int32))
+        if not node:
+            return
+        node, h, many, salt = (np.concatenate(x) for x in (node, h, many, salt))
+        order = np.lexsort((h, many, node))
+        node, h, many, salt = node[order], h[order], many[order], salt[order]
+        fresh = np.append(True, (node[1:] != node[:-1]) | (h[1:] != h[:-1]))
+        node, h, salt = node[fresh], h[fresh], salt[fresh]
+        known, at = np.unique(np.concatenate(base_node), return_index=True)
+        first = _runs(node)
+        held = np.diff(np.append(first, len(node)))
+        size = np.concatenate(base)[at[np.searchsorted(known, node[first])]].astype(np.int64)
+        n, distinct = size[:, 0], size[:, 1]
+        # Shingles that no other node holds come first.
+        left = n - -(-n * t.numerator // t.denominator) + 1 - (distinct - held)
+        turn = np.arange(len(node)) - np.repeat(first, held)
+        keep = turn < np.repeat(left, held)
+        yield pa.RecordBatch.from_arrays([pa.array(h[keep]), pa.array(salt[keep]), pa.array(node[keep]), pa.array(np.repeat(n, held)[keep])], ["h", "salt", "node", "n"])
+
+    return counted.groupBy("to").applyInArrow(choose, "h long, salt int, node long, n long")
+
+
+def _lists(listed: DataFrame, t: Fraction, parts: int) -> DataFrame:
+    """kind 0: a candidate pair (a, b); 1: node a of n = b in a long list of shingle h;
+    2: the same, first of its size band in one salt's part of a split list."""
 
     def rows(kind, h, a, b):
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(h), pa.array(a), pa.array(b)], ["kind", "h", "a", "b"])
@@ -205,7 +377,6 @@ def _lists(described: DataFrame, t: Fraction, parts: int) -> DataFrame:
         heads = np.array(heads, np.int64)
         yield rows(2, h[heads], node[heads], n[heads])
 
-    listed = described.where("prefix IS NOT NULL").select("node", "n", "prefix", "salts").mapInArrow(spread, "h long, salt int, node long, n long")
     return listed.repartition(parts, "h", "salt").mapInArrow(compare, "kind int, h long, a long, b long")
 
 
@@ -233,27 +404,29 @@ def _filter(ends: DataFrame):
     return ends.sparkSession.sparkContext.broadcast(table)
 
 
-def _gather(docs: DataFrame, ends: DataFrame) -> DataFrame:
+def _gather(docs: DataFrame, described: DataFrame, ends: DataFrame) -> DataFrame:
     """node, text and bits, a bitmap four times as wide, of the nodes in ends and of a few others."""
-    shared = _filter(ends)
+    wanted = described.where("bits IS NOT NULL").join(ends.select("node").distinct(), "node", "left_semi").select(F.col("text_hash").alias("node"))
+    shared = _filter(wanted)
 
     def texts(batches):
         filter_bits, seen = shared.value, set()
         for batch in batches:
+            at = batch.column(1).to_numpy() % FILTER_BITS
+            may = batch.column(0).filter(pa.array(filter_bits[at >> 3] >> (at & 7).astype(np.uint8) & 1 != 0))
             node, own_text, bits = [], [], []
-            for text in batch.column(0).to_pylist():
+            for text in may.to_pylist():
                 own = node_of(s := shingles(text))
                 if own is None or own in seen:
                     continue
-                at = own % FILTER_BITS
-                if filter_bits[at >> 3] >> (at & 7) & 1:
-                    if len(seen) >= 1_000_000:
-                        seen.clear()
-                    seen.add(own)
-                    node.append(own), own_text.append(text), bits.append(bitmap(s, 2))
+                if len(seen) >= _SEEN:
+                    seen.clear()
+                seen.add(own)
+                node.append(own), own_text.append(text), bits.append(bitmap(s, 2))
             yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(own_text, pa.string()), pa.array(bits, pa.binary())], ["node", "text", "bits"])
 
-    return materialize(docs.select(F.col("text").cast("string")).mapInArrow(texts, "node long, text string, bits binary").dropDuplicates(["node"]), "texts")
+    text = F.col("text").cast("string")
+    return materialize(docs.select(text, F.xxhash64(text)).mapInArrow(texts, "node long, text string, bits binary").dropDuplicates(["node"]), "texts")
 
 
 def _verify(texts: DataFrame, pairs: DataFrame, t: Fraction, name: str) -> DataFrame:
@@ -291,38 +464,42 @@ def components(links: DataFrame) -> DataFrame:
     edges = materialize(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = materialize(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("label")), "labels")
     while True:
-        near = edges.join(labels, edges.b == labels.node).groupBy("a").agg(F.min("label").alias("near"))
-        met = labels.join(near, labels.node == near.a).select("node", F.least("label", "near").alias("label"), F.col("label").alias("old"))
+        near = edges.join(labels.select("node", "label"), F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("near"))
+        met = labels.select("node", "label").join(near, F.col("node") == F.col("a")).select("node", F.least("label", "near").alias("label"), F.col("label").alias("old"))
         up = labels.select(F.col("node").alias("label"), F.col("label").alias("above"))
         new = materialize(met.join(up, "label", "left").select("node", F.least("label", "above").alias("label"), "old"), "labels")
+        discard(labels)
+        labels = new
         if new.where("label <> old").isEmpty():
-            return new.select("node", "label")
-        labels = new.select("node", "label")
+            discard(edges)
+            return labels
 
 
 def _merge(labels: DataFrame, more: DataFrame) -> DataFrame:
     """labels after more links (a, b): only the labels that they join are relabelled."""
-    known = labels.withColumnsRenamed({"node": "_n", "label": "_l"})
+    known = labels.select(F.col("node").alias("_n"), F.col("label").alias("_l"))
     ends = more
     for end in ("a", "b"):
         ends = ends.join(known, ends[end] == known["_n"], "left").withColumn(end, F.coalesce("_l", end)).select("a", "b")
     top = components(ends.where("a <> b"))
-    to = top.withColumnsRenamed({"node": "_n", "label": "_l"})
-    moved = labels.join(to, labels["label"] == to["_n"], "left").select("node", F.coalesce("_l", "label").alias("label"))
-    return materialize(moved.unionByName(top.join(labels, "node", "left_anti")), "labels")
+    to = top.select(F.col("node").alias("_n"), F.col("label").alias("_l"))
+    moved = labels.select("node", "label").join(to, labels["label"] == to["_n"], "left").select("node", F.coalesce("_l", "label").alias("label"))
+    out = materialize(moved.unionByName(top.select("node", "label").join(labels, "node", "left_anti")), "labels")
+    discard(top)
+    return out
 
 
-def _across(long: DataFrame, labels: DataFrame, sizes: DataFrame, texts: DataFrame, t: Fraction, forest: bool) -> DataFrame:
-    """Candidate pairs of long lists (h, node) whose ends lie in different components.
+def _across(long: DataFrame, labels: DataFrame, texts: DataFrame, t: Fraction, forest: bool) -> DataFrame:
+    """Candidate pairs of long lists (h, node, n) whose ends lie in different components.
 
     forest: of the pairs that probably link, only as many as join the components of
     a tile; without it, every pair whose bitmaps allow a link.
     """
-    named = long.join(labels, "node", "left").select("h", "node", F.coalesce("label", "node").alias("label"))
+    named = long.join(labels.select("node", "label"), "node", "left").select("h", "node", "n", F.coalesce("label", "node").alias("label"))
     mixed = named.groupBy("h").agg(F.min("label").alias("_a"), F.max("label").alias("_b"), F.count("*").alias("_n")).where("_a <> _b").select(
         "h", F.expr(f"CAST(ceil(_n / {TILE}) AS INT)").alias("tiles"))
     tile = named.join(mixed, "h").withColumn("tile", F.expr("CAST(pmod(node, tiles) AS INT)")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    tiles = tile.join(sizes, "node").join(texts.select("node", "bits"), "node").select(
+    tiles = tile.join(texts.select("node", "bits"), "node").select(
         "h", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "tile", "node", "label", "n", "bits")
 
     def meet(key, table):
@@ -363,27 +540,39 @@ def _across(long: DataFrame, labels: DataFrame, sizes: DataFrame, texts: DataFra
 
 
 def _labelled(docs: DataFrame, threshold: Fraction) -> tuple[DataFrame, DataFrame]:
-    """(the rows of _describe, node and label of the nodes that link)"""
+    """(the document rows of _describe, node and label of the nodes that link)"""
     spark = docs.sparkSession
     docs = bounded_batches(docs).select("doc_id", "text")
-    described = materialize(_describe(docs, threshold, _order_counts(docs)), "sets")
-    nodes = described.where("prefix IS NOT NULL").select("node", "n", "bits").dropDuplicates(["node"])
-    total = described.where("prefix IS NOT NULL").agg(F.sum(F.octet_length("prefix") / 8)).first()[0] or 0
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total) // 2_000_000)
-    lists = materialize(_lists(described, threshold, parts), "lists")
+    described = materialize(_describe(docs), "sets")
+    counts = _cell_counts(described)
+    described = described.where("block IS NULL").drop("block", "counts")
+    fewest = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(fewest, int(counts.sum()) // PART)
+    listed = materialize(_prefixes(_counted(_postings(docs, counts, parts), parts), threshold), "prefixes")
+    lists = materialize(_lists(listed, threshold, max(fewest, listed.count() // PART)), "lists")
+    discard(listed)
+    nodes = described.where("bits IS NOT NULL").select("node", "n", "bits").dropDuplicates(["node"])
     band = Window.partitionBy("h", F.floor(F.log(F.col("b").cast("double")) / -float(np.log(float(threshold))))).orderBy("b", "a")
     heads = lists.where("kind = 2").select(F.first("a").over(band).alias("p"), F.col("a").alias("q")).where("p <> q").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
     pairs = lists.where("kind = 0").select("a", "b").unionByName(heads).distinct()
     fit = materialize(_fit(pairs, nodes, threshold), "fit")
-    long = lists.where("kind = 1").select("h", F.col("a").alias("node"))
-    texts = _gather(docs, fit.select(F.explode(F.array("a", "b")).alias("node")).unionByName(long.select("node")))
-    labels = components(_verify(texts, fit, threshold, "links"))
+    long = lists.where("kind = 1").select("h", F.col("a").alias("node"), F.col("b").alias("n"))
+    texts = _gather(docs, described, fit.select(F.explode(F.array("a", "b")).alias("node")).unionByName(long.select("node")))
+    found = _verify(texts, fit, threshold, "links")
+    discard(fit)
+    labels = components(found)
+    discard(found)
     for forest in (True, False):
-        across = materialize(_across(long, labels, nodes.select("node", "n"), texts, threshold, forest), "across")
+        across = materialize(_across(long, labels, texts, threshold, forest), "across")
         if not across.isEmpty():
             more = _verify(texts, across, threshold, "links-across")
             if not more.isEmpty():
-                labels = _merge(labels, more)
+                merged = _merge(labels, more)
+                discard(labels)
+                labels = merged
+            discard(more)
+        discard(across)
+    discard(lists, texts)
     return described, labels
 
 
@@ -393,7 +582,7 @@ def representatives(docs: DataFrame, threshold: Fraction = Fraction(3, 4)) -> Da
     nothing: each stands for itself."""
     described, labels = _labelled(docs, threshold)
     order = F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "text_hash")
-    named = described.where("node IS NOT NULL").groupBy("node").agg(F.min(order).alias("first")).join(labels, "node", "left")
+    named = described.where("node IS NOT NULL").groupBy("node").agg(F.min(order).alias("first")).join(labels.select("node", "label"), "node", "left")
     first = named.groupBy(F.coalesce("label", "node").alias("label")).agg(F.min("first").alias("first")).select("first.doc_id", "first.text_hash")
     return first.unionByName(described.where("node IS NULL").select("doc_id", "text_hash").distinct())
 
@@ -409,7 +598,7 @@ def near_duplicates(docs: DataFrame, threshold: Fraction = Fraction(3, 4)) -> Da
     and text are ignored.
     """
     described, labels = _labelled(docs, threshold)
-    named = described.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("own")).join(labels, "node", "left").select("node", "own", F.coalesce("label", "node").alias("label"))
+    named = described.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("own")).join(labels.select("node", "label"), "node", "left").select("node", "own", F.coalesce("label", "node").alias("label"))
     least = named.groupBy("label").agg(F.min("own").alias("component_id"))
     of = named.join(least, "label").select("node", "component_id")
     return described.select("doc_id", "text_hash", "node", F.col("n").alias("n_shingles")).join(of, "node", "left").select(

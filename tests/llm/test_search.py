@@ -123,10 +123,11 @@ def _near_rows():
     return out
 
 
-@pytest.mark.parametrize("short, tile", [(12, 2048), (2, 3)])
-def test_join(spark, docs, none, monkeypatch, short, tile):
-    monkeypatch.setattr(ngram_join, "SHORT", short)
-    monkeypatch.setattr(ngram_join, "TILE", tile)
+@pytest.mark.parametrize("short, tile, hot, part", [(12, 2048, 1 << 16, 2_000_000), (2, 3, 4, 100)])
+def test_join(spark, docs, none, monkeypatch, short, tile, hot, part):
+    """Also with lists, tiles and parts so small that shingles are split by salts."""
+    for name, value in (("SHORT", short), ("TILE", tile), ("HOT", hot), ("PART", part)):
+        monkeypatch.setattr(ngram_join, name, value)
     near = _near_rows()
     for df, all_rows in ((spark.createDataFrame(near, "doc_id long, text string").repartition(5), near), (docs, rows())):
         got = Counter((x.doc_id, x.n_shingles, x.component_id) for x in ngram_join.near_duplicates(df).collect())

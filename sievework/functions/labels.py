@@ -9,6 +9,24 @@ from pyspark.sql import functions as F
 READ_ONLY, BOUNDED_WRITE, PROHIBITED = "INERT_READ_ONLY_WORKSPACE", "INERT_BOUNDED_REVERSIBLE_WRITE", "INERT_PROHIBITED_OR_UNKNOWN_CAPABILITY"
 FIXTURES = (("boundary-react-escaped-text", "[INERT_SECURITY_BOUNDARY:REACT_ESCAPED_TEXT]", "PASS"),
             ("negative-untrusted-html-sink", "[INERT_SECURITY_NEGATIVE:UNTRUSTED_HTML_SINK]", "BLOCK"))
+#: Reason and the pattern that a collapsed, lower-case validation text must match.
+REJECTION_REASONS = (
+    ("active_payload_material", "^seed contains active payload material$"),
+    ("credential_like_material", "^seed contains credential-like material$"),
+    ("invalid_json_object", "valid json object"),
+    ("empty_request", "^seed request is empty$"),
+    ("task_card_binding", "task[- ]card"),
+    ("seed_schema", "^seed "),
+)
+REJECTION_OTHER = "unclassified_validation"
+ERROR_PHRASES = {
+    "invalid_url": ("invalid_url", "invalid url", "missing scheme"),
+    "client_cancelled": ("context canceled", "context cancelled", "http 499"),
+    "rate_limited": ("rate limit", "status code: 429", "http 429"),
+    "authentication_failed": ("invalid authentication", "status code: 401", "http 401"),
+}
+STATUS_400 = r"(?:\bhttp(?:\s+status)?|\bstatus(?:\s*code)?|\"status(?:code)?\")\s*(?::|=)?\s*400\b"
+ARIA = r"\s+aria-label\s*=\s*([\"'])[^\"']+\1"
 # End of fixed values.
 
 
@@ -65,15 +83,8 @@ def error_codes(text: Column) -> Column:
     """Finite codes of an error text, in fixed order."""
     t = F.lower(text)
     has = lambda *words: F.array_compact(F.array(*[F.when(t.contains(w), F.lit(1)) for w in words]))
-    rules = {
-        "invalid_url": ("invalid_url", "invalid url", "missing scheme"),
-        "client_cancelled": ("context canceled", "context cancelled", "http 499"),
-        "rate_limited": ("rate limit", "status code: 429", "http 429"),
-        "authentication_failed": ("invalid authentication", "status code: 401", "http 401"),
-    }
-    missing = (t.rlike(r"(?:\bhttp(?:\s+status)?|\bstatus(?:\s*code)?|\"status(?:code)?\")\s*(?::|=)?\s*400\b") & t.rlike("reasoning[_ ]content")
-               & t.rlike("missing|required|must include|must be included|not provided|not present"))
-    return F.array_compact(F.array(*[F.when(F.size(has(*w)) > 0, F.lit(k)) for k, w in rules.items()], F.when(missing, F.lit("missing_reasoning_content"))))
+    missing = t.rlike(STATUS_400) & t.rlike("reasoning[_ ]content") & t.rlike("missing|required|must include|must be included|not provided|not present")
+    return F.array_compact(F.array(*[F.when(F.size(has(*w)) > 0, F.lit(k)) for k, w in ERROR_PHRASES.items()], F.when(missing, F.lit("missing_reasoning_content"))))
 
 
 def verdict_ok(verdict: Column, issues: Column) -> Column:
@@ -85,7 +96,7 @@ def verdict_ok(verdict: Column, issues: Column) -> Column:
 def axis_value(tags: Column, axis: str) -> Column:
     """Value of the one axis:value tag, null unless exactly one."""
     own = F.filter(tags, lambda t: t.startswith(axis + ":"))
-    return F.when(F.size(own) == 1, F.substring(own[0], len(axis) + 2, 1 << 20))
+    return F.when(F.size(own) == 1, F.substr(own[0], F.lit(len(axis) + 2)))
 
 
 def mutated(html: Column) -> tuple[Column, Column, Column]:
@@ -100,8 +111,7 @@ def mutated(html: Column) -> tuple[Column, Column, Column]:
         closed = F.regexp_replace(opened, rf"(?is)^(.*?)</{name}\s*>(.*)$", "$1</div>$2")
         return opens, opened.rlike(rf"(?i)</{name}\s*>"), closed
 
-    aria = r"\s+aria-label\s*=\s*([\"'])[^\"']+\1"
-    has_aria = html.rlike(f"(?i){aria}")
+    has_aria = html.rlike(f"(?i){ARIA}")
     no_aria = F.regexp_replace(html, rf"(?is)^(.*?)\s+aria-label\s*=\s*([\"'])[^\"']+\2(.*)$", "$1$3")
     m_open, m_close, m = tag("main")
     h_open, h_close, h = tag("h1")
@@ -124,15 +134,9 @@ def failure_parts(error: Column) -> Column:
 
 
 def rejection_reason(text: Column) -> Column:
-    """A finite reason for a rejected seed's validation text."""
+    """A finite reason for a rejected seed's validation text: the first rule that holds."""
     t = F.lower(F.trim(F.regexp_replace(text, r"\s+", " ")))
-    return (F.when(t.isNull(), F.lit("unclassified_validation"))
-            .when(t == "seed contains active payload material", F.lit("active_payload_material"))
-            .when(t == "seed contains credential-like material", F.lit("credential_like_material"))
-            .when(t.contains("valid json object"), F.lit("invalid_json_object"))
-            .when(t == "seed request is empty", F.lit("empty_request"))
-            .when(t.contains("task-card") | t.contains("task card"), F.lit("task_card_binding"))
-            .when(t.startswith("seed "), F.lit("seed_schema")).otherwise(F.lit("unclassified_validation")))
+    return F.coalesce(*[F.when(t.rlike(pattern), F.lit(name)) for name, pattern in REJECTION_REASONS], F.lit(REJECTION_OTHER))
 
 
 def kept_window(words: Column, target_start: Column, length: int) -> Column:

@@ -10,7 +10,7 @@ MONEY = "decimal(38,12)"
 
 def count_or_null(text: Column) -> Column:
     """A non-negative integer written as one; anything else is null."""
-    return F.when(text.rlike("^[0-9]{1,18}$"), text.try_cast("bigint"))
+    return F.when(text.rlike("^[0-9]+$"), text.try_cast("bigint"))
 
 
 def offset_timestamp(text: Column) -> Column:
@@ -61,14 +61,3 @@ def index_of(a: Column, b: Column) -> Column:
 def backoff_seconds(attempt: Column, hint: Column) -> Column:
     """Doubling delay up to 4 s, at least the provider's hint up to 8 s; without jitter."""
     return F.greatest(F.least(F.pow(F.lit(2.0), attempt), F.lit(4.0)), F.least(F.greatest(F.coalesce(hint, F.lit(0.0)), F.lit(0.0)), F.lit(8.0)))
-
-
-def modality(key: Column) -> Column:
-    """What a tensor belongs to, by its name."""
-    return (F.when(key.startswith("model.language_model."), F.lit("text"))
-            .when(key.startswith("model.vision_embedder.") | key.startswith("model.embed_vision."), F.lit("vision"))
-            .when(key.startswith("model.embed_audio."), F.lit("audio")).otherwise(F.lit("other")))
-
-
-def tensor_bytes(shape: Column, width: Column) -> Column:
-    return F.aggregate(shape, F.lit(1).cast("bigint"), lambda a, x: a * x) * width

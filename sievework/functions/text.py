@@ -15,6 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# Word and CJK classes and fences that results must agree on.
 _WORD = r"[\p{L}\p{N}_]+"
 _TOKEN = r"[\p{L}\p{N}]+"
 _CJK = r"[㐀-䶿一-鿿豈-﫿]"
@@ -48,9 +49,11 @@ def casefolded(text: pd.Series) -> pd.Series:
 
 
 def tokens(text: Column) -> Column:
-    """N5 without compatibility forms: lower case letter and digit runs; CJK by character."""
-    spaced = F.regexp_replace(F.lower(text), f"({_CJK})", " $1 ")
-    return F.regexp_extract_all(spaced, F.lit(_TOKEN), F.lit(0))
+    """N5 without compatibility forms: lower case letter and digit runs; a run that is
+    all CJK by character."""
+    runs = F.regexp_extract_all(F.lower(text), F.lit(_TOKEN), F.lit(0))
+    split = F.flatten(F.transform(runs, lambda t: F.when(t.rlike(f"^{_CJK}+$"), F.split(t, "")).otherwise(F.array(t))))
+    return F.when(text.rlike(_CJK), split).otherwise(runs)
 
 
 def exact_tokens(text: Column) -> Column:
@@ -120,7 +123,7 @@ def first_json_object(raw: pd.Series) -> pd.Series:
         at = text.find("{") if text is not None else -1
         while at >= 0:
             try:
-                value, _ = decoder.raw_decode(text[at:])
+                value, _ = decoder.raw_decode(text, at)
             except ValueError:
                 value = None
             if isinstance(value, dict):
@@ -133,7 +136,7 @@ def first_json_object(raw: pd.Series) -> pd.Series:
 
 def only_fenced_code(raw: Column) -> Column:
     """The text of the one TS or JS fence; null unless there is exactly one, not blank."""
-    blocks = F.regexp_extract_all(raw, F.lit(r"(?i)```(?:tsx|typescript|jsx|javascript|ts|js)\s*\n([\s\S]*?)```"), F.lit(1))
+    blocks = F.regexp_extract_all(raw, F.lit(_CODE_FENCE), F.lit(1))
     code = newlined(F.get(blocks, F.lit(0)))
     return F.when((F.size(blocks) == 1) & (code != ""), code)
 
@@ -141,5 +144,4 @@ def only_fenced_code(raw: Column) -> Column:
 def html_answer(raw: Column) -> Column:
     """The HTML inside an answer that is one fence, else the trimmed text."""
     text = F.btrim(raw, F.lit(" \t\n\r\x0b\f"))
-    pattern = r"(?is)^```(?:html)?\s*(.*?)\s*```$"
-    return F.when(text.rlike(pattern), F.btrim(F.regexp_extract(text, pattern, 1), F.lit(" \t\n\r\x0b\f"))).otherwise(text)
+    return F.when(text.rlike(_HTML_FENCE), F.btrim(F.regexp_extract(text, _HTML_FENCE, 1), F.lit(" \t\n\r\x0b\f"))).otherwise(text)

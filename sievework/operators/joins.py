@@ -69,6 +69,26 @@ def only_match(requests: DataFrame, offers: DataFrame, on: list[str], result: st
     return requests.join(one, on, "left")
 
 
+def containing(texts: DataFrame, needles: DataFrame, text: str, needle: str, run: int = 3) -> DataFrame:
+    """texts with every needle that they hold; null and empty needles are in none.
+
+    Between blanks, the inner words of a needle are whole words of the text, so a
+    needle meets only texts that hold its first run of them (by a join on hashes).
+    Needles of fewer than three words have none and look into every text.
+    """
+    inner = F.slice(F.split(needle, " "), 2, F.greatest(F.size(F.split(needle, " ")) - 2, F.lit(0)))
+    own = needles.where(F.length(needle) > 0).withColumn("_n", F.least(F.size(inner), F.lit(run))).withColumn("_k", F.xxhash64("_n", F.array_join(F.slice(inner, F.lit(1), F.greatest(F.col("_n"), F.lit(0))), " ")))
+    words = texts.where(F.col(text).isNotNull()).withColumn("_w", F.split(text, " "))
+
+    def hashed(k: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.size("_w") - (k - 1), F.lit(1))), lambda i: F.xxhash64(F.lit(k), F.array_join(F.slice("_w", i, k), " ")))
+
+    runs = F.array_distinct(F.concat(*map(hashed, range(1, run + 1))))
+    met = words.withColumn("_r", F.explode(runs)).join(own.where("_n > 0"), F.col("_r") == F.col("_k")).where(F.contains(text, needle)).drop("_r", "_w", "_n", "_k")
+    short = own.where("_n <= 0").drop("_n", "_k")
+    return met.unionByName(texts.join(short, F.contains(text, needle)))
+
+
 def keyed_difference(old: DataFrame, new: DataFrame, key: str, value: str) -> DataFrame:
     """key and change (added, removed, changed) where the two differ."""
     o, n = old.select(F.col(key).alias("_o"), F.col(value).alias("_ov")), new.select(F.col(key).alias("_n"), F.col(value).alias("_nv"))
@@ -78,11 +98,12 @@ def keyed_difference(old: DataFrame, new: DataFrame, key: str, value: str) -> Da
 
 
 def numeric_difference(given: DataFrame, computed: DataFrame, keys: list[str], value: str, tolerance: float = 1e-9, most: int = 100) -> DataFrame:
-    """Where given and computed numbers differ (null equals null), the first by key."""
+    """Where given and computed numbers differ by more than tolerance, absolute and
+    relative (null equals null), the first by key."""
     g = given.select(*keys, F.col(value).alias("given"))
     c = computed.select(*keys, F.col(value).alias("computed"))
     j = g.join(c, keys, "full_outer")
-    close = F.abs(F.col("given") - F.col("computed")) <= F.greatest(F.abs("given"), F.abs("computed")) * tolerance
+    close = F.abs(F.col("given") - F.col("computed")) <= F.greatest(F.abs("given") * tolerance, F.abs("computed") * tolerance, F.lit(tolerance))
     return j.where(~(F.col("given").isNull() & F.col("computed").isNull()) & ~F.coalesce(close, F.lit(False))).orderBy(*keys).limit(most)
 
 

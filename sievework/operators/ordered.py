@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import cut
+
 
 def hash_ordered_top(df: DataFrame, group: str, ident: str, k: int, seed: int) -> DataFrame:
     """The k rows of each group with the smallest SHA-256 of seed:id."""
@@ -85,12 +87,19 @@ def cyclic(df: DataFrame, index: str, templates: list[str], name: str = "templat
 
 
 def exposure_schedule(df: DataFrame, ident: str, epochs: int, seed: int) -> DataFrame:
-    """Every row once an epoch, in a hash order of its own; position is dense within the epoch.
+    """Every row once an epoch, in a hash order of its own; position is dense within the epoch, from 0.
 
-    The order is dealt by range, so no epoch is sorted in one task.
+    Rows are dealt by range and sorted there, so no epoch is sorted in one task;
+    a partition's first position is the sum of the counts before it.
     """
     key = F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col("epoch").cast("string"), F.col(ident).cast("string")), 256)
-    return df.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1)))).withColumn("order_key", key).repartitionByRange("epoch", "order_key").sortWithinPartitions("epoch", "order_key")
+    dealt = df.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1)))).withColumn("order_key", key).repartitionByRange("epoch", "order_key").sortWithinPartitions("epoch", "order_key")
+    row = F.monotonically_increasing_id()
+    placed = cut(dealt.withColumn("_m", row).select("*", F.shiftright("_m", 33).alias("_p"), F.expr("_m & 8589934591").alias("_i")).drop("_m"), "schedule")
+    here = placed.groupBy("epoch", "_p").agg(F.count("*").alias("_n"), F.min("_i").alias("_first"))
+    # A row for each epoch and partition.
+    base = here.select("epoch", "_p", (F.coalesce(F.sum("_n").over(Window.partitionBy("epoch").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) - F.col("_first")).alias("_base"))
+    return placed.join(base, ["epoch", "_p"]).withColumn("position", F.col("_base") + F.col("_i")).drop("_p", "_i", "_base")
 
 
 def rank_in(names: list[str], column: Column) -> Column:

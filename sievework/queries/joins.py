@@ -110,26 +110,27 @@ def q_dense_grid(t):
     return J.dense_grid(rows, t.region.select("r_regionkey"), t.customer.select("c_mktsegment").distinct())
 
 
-@query(r"""SELECT coalesce(u.conv_id, a.conv_id) AS conv_id, coalesce(u.turn, a.turn - 1) AS turn, CASE WHEN a.conv_id IS NULL THEN 'no_answer' ELSE 'no_question' END AS problem
-FROM (SELECT * FROM conversations WHERE role = 'user') u FULL JOIN (SELECT * FROM conversations WHERE role = 'assistant') a ON u.conv_id = a.conv_id AND u.turn + 1 = a.turn WHERE u.conv_id IS NULL OR a.conv_id IS NULL""")
+@query(r"""WITH c AS (SELECT conv_id, turn, CASE WHEN conv_id % 7 = 3 AND role = 'user' THEN 'tool' ELSE role END AS role FROM conversations)
+SELECT coalesce(u.conv_id, a.conv_id) AS conv_id, coalesce(u.turn, a.turn - 1) AS turn, CASE WHEN a.conv_id IS NULL THEN 'no_answer' ELSE 'no_question' END AS problem
+FROM (SELECT * FROM c WHERE role = 'user') u FULL JOIN (SELECT * FROM c WHERE role = 'assistant') a ON u.conv_id = a.conv_id AND u.turn + 1 = a.turn WHERE u.conv_id IS NULL OR a.conv_id IS NULL""")
 def q_role_pairing(t):
-    c = t.conversations
+    c = t.conversations.withColumn("role", F.when((F.col("conv_id") % 7 == 3) & (F.col("role") == "user"), "tool").otherwise(F.col("role")))
     u = c.where("role = 'user'").select(F.col("conv_id").alias("u"), F.col("turn").alias("x"))
     a = c.where("role = 'assistant'").select(F.col("conv_id").alias("a"), (F.col("turn") - 1).alias("y"))
     j = u.join(a, (F.col("u") == F.col("a")) & (F.col("x") == F.col("y")), "full_outer").where("u IS NULL OR a IS NULL")
     return j.select(F.coalesce("u", "a").alias("conv_id"), F.coalesce("x", "y").alias("turn"), F.when(F.col("a").isNull(), "no_answer").otherwise("no_question").alias("problem"))
 
 
-@query(r"""SELECT n_regionkey, list({'n_nationkey': n_nationkey, 'n_name': n_name} ORDER BY n_nationkey)::VARCHAR <> '' AS some, count(*)::BIGINT AS n FROM nation GROUP BY 1""")
+@query(r"""SELECT r_regionkey, coalesce(list(n_nationkey || ':' || n_name ORDER BY n_nationkey) FILTER (WHERE n_nationkey IS NOT NULL), []) AS nations FROM region LEFT JOIN nation ON n_regionkey = r_regionkey AND n_regionkey <> 4 GROUP BY 1""")
 def q_nested_children(t):
-    regions = t.region.select(F.col("r_regionkey").alias("n_regionkey"))
-    return J.children(regions, t.nation, "n_regionkey", ["n_nationkey", "n_name"], "nations").select("n_regionkey", (F.size("nations") > 0).alias("some"), F.size("nations").cast("long").alias("n"))
+    nations = t.nation.where("n_regionkey <> 4").withColumnRenamed("n_regionkey", "r_regionkey")
+    nested = J.children(t.region.select("r_regionkey"), nations, "r_regionkey", ["n_nationkey", "n_name"], "nations")
+    return nested.select("r_regionkey", F.transform("nations", lambda n: F.concat_ws(":", n.n_nationkey, n.n_name)).alias("nations"))
 
 
-@query(r"""SELECT b.item_id, d.doc_id FROM documents d JOIN benchmark b ON contains(lower(d.text), lower(substr(b.text, 1, 40)))""")
+@query(r"""SELECT b.item_id, d.doc_id FROM documents d JOIN benchmark b ON contains(lower(d.text), lower(b.text)) AND b.text <> ''""")
 def q_contains_probe(t):
-    needles = t.benchmark.select("item_id", F.lower("text").alias("needle")).where("needle <> ''")  # a curated, small set
-    return t.documents.join(F.broadcast(needles), F.contains(F.lower("text"), F.col("needle"))).select("item_id", "doc_id")
+    return J.containing(t.documents.select("doc_id", F.lower("text").alias("text")), t.benchmark.select("item_id", F.lower("text").alias("needle")), "text", "needle").select("item_id", "doc_id")
 
 
 @query(r"""SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels""")

@@ -85,11 +85,11 @@ def q_earliest_root(t):
 
 
 @query(r"""WITH s AS (SELECT unnest(['signup','view','click','purchase','error']) AS stage, unnest(range(5)) AS i), t AS (SELECT user_id FROM (SELECT DISTINCT user_id FROM events) ORDER BY user_id LIMIT 40),
-d AS (SELECT DISTINCT user_id, event_type FROM events WHERE value > 20), g AS (SELECT t.user_id, s.stage, s.i FROM t, s WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.user_id = t.user_id AND d.event_type = s.stage))
+d AS (SELECT DISTINCT user_id, event_type FROM events WHERE value > 60), g AS (SELECT t.user_id, s.stage, s.i FROM t, s WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.user_id = t.user_id AND d.event_type = s.stage))
 SELECT user_id, arg_min(stage, i) AS event_type FROM g GROUP BY user_id""")
 def q_first_missing(t):
     seeds = t.events.select("user_id", F.col("user_id").alias("i")).distinct()
-    return O.first_missing(seeds, t.events.where("value > 20"), "user_id", "event_type", _STAGES, "i", 40)
+    return O.first_missing(seeds, t.events.where("value > 60"), "user_id", "event_type", _STAGES, "i", 40)
 
 
 @query(r"""SELECT user_id || ':' || event_type AS key, count(DISTINCT ts::DATE)::BIGINT AS attempts, count(DISTINCT ts::DATE) > 3 AS quarantined FROM events WHERE value < 20 GROUP BY 1""")
@@ -103,7 +103,7 @@ def q_cyclic_template(t):
     return O.cyclic(t.customer.select("c_custkey"), "c_custkey", ["a", "b", "c"])
 
 
-@query(r"""SELECT doc_id, e AS epoch, sha256('7:' || e || ':' || doc_id) AS order_key FROM labels, (SELECT unnest(range(3))::INT AS e)""")
+@query(r"""SELECT doc_id, e AS epoch, sha256('7:' || e || ':' || doc_id) AS order_key, row_number() OVER (PARTITION BY e ORDER BY sha256('7:' || e || ':' || doc_id)) - 1 AS position FROM labels, (SELECT unnest(range(3))::INT AS e)""")
 def q_exposure_schedule(t):
     return O.exposure_schedule(t.labels.select("doc_id"), "doc_id", 3, 7)
 

@@ -87,17 +87,19 @@ def q_content_union(t):
     return D.content_union(d.where("doc_id % 2 = 0"), d, F.col("text")).agg(F.count("*").alias("n"))
 
 
+#: Held-out texts: the benchmark, and every hundredth document with its middle tenth replaced.
+_HELD = r"""SELECT item_id::VARCHAR AS item_id, text FROM benchmark UNION ALL SELECT 'd' || doc_id, substr(text, 1, (length(text) * 45 // 100)::INT) || ' altered ' || substr(text, (length(text) * 55 // 100)::INT + 1) FROM documents WHERE doc_id % 100 = 0"""
 _WORDED = r"array_to_string(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), ' ')"
 
 
-@query(rf"""WITH h AS (SELECT item_id, {_WORDED} AS a FROM benchmark), d AS (SELECT text, {_WORDED} AS b FROM documents)
+@query(rf"""WITH h AS (SELECT item_id, {_WORDED} AS a FROM ({_HELD})), d AS (SELECT text, {_WORDED} AS b FROM documents)
 SELECT DISTINCT sha256(item_id::VARCHAR) AS held_sha256, sha256(text) AS source_sha256, 'normalized_exact' AS match_type, 1.0::DOUBLE AS similarity FROM h, d
 WHERE length(a) > 0 AND length(b) > 0 AND (a = b OR (length(a) >= 24 AND contains(b, a)) OR (length(b) >= 24 AND contains(a, b)))""")
 def q_leak_containment(t):
     return _leaks(t, False).where("match_type = 'normalized_exact'")
 
 
-@query(rf"""WITH h AS (SELECT item_id, {_WORDED} AS a FROM benchmark), d AS (SELECT text, {_WORDED} AS b FROM documents),
+@query(rf"""WITH h AS (SELECT item_id, {_WORDED} AS a FROM ({_HELD})), d AS (SELECT text, {_WORDED} AS b FROM documents),
 p AS (SELECT *, string_split(a, ' ') AS x, string_split(b, ' ') AS y FROM h, d WHERE length(a) BETWEEN length(b) * 0.4 AND length(b) * 2.5 AND NOT (a = b OR (length(a) >= 24 AND contains(b, a)) OR (length(b) >= 24 AND contains(a, b)))),
 g AS (SELECT *, CASE WHEN least(len(x), len(y)) >= 5 THEN list_distinct(list_transform(range(1, len(x) - 1), lambda i: array_to_string(x[i:i+2], ' '))) ELSE list_distinct(x) END AS gx,
  CASE WHEN least(len(x), len(y)) >= 5 THEN list_distinct(list_transform(range(1, len(y) - 1), lambda i: array_to_string(y[i:i+2], ' '))) ELSE list_distinct(y) END AS gy FROM p),
@@ -113,7 +115,10 @@ def q_leak_full(t):
 
 
 def _leaks(t, sequence, threshold=0.86):
-    return K.collisions(t.benchmark.select(F.col("item_id").alias("id"), "text"), t.documents.select("text"), threshold, sequence)
+    altered = t.documents.where("doc_id % 100 = 0").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), F.expr(
+        "substr(text, 1, length(text) * 45 div 100) || ' altered ' || substr(text, CAST(length(text) * 55 div 100 AS INT) + 1)").alias("text"))
+    held = t.benchmark.select(F.col("item_id").cast("string").alias("id"), "text").unionByName(altered)
+    return K.collisions(held, t.documents.select("text"), threshold, sequence)
 
 
 @query(r"""WITH a AS (SELECT source, count_if(lang = 'en') AS en, count(*) AS n FROM documents GROUP BY source) SELECT source, {'lang_shortfall': greatest(40 - en, 0)::BIGINT, 'row_shortfall': greatest(60 - n, 0)::BIGINT} AS deficits FROM a""")

@@ -5,7 +5,7 @@ plane for each binary digit of the largest id, highest first.  Each plane keeps
 the stable order of the plane before it, zeros first; with counts of ones at
 every 512th bit, a token is read, counted or located by one step for each plane
 (access, rank, select).  Planes, counts and document ends are compressed into
-one payload, and a written file holds just that payload.
+one payload; a written file is a Parquet file of one row, which holds it.
 """
 
 from __future__ import annotations
@@ -43,11 +43,8 @@ def build(ids: np.ndarray, doc_ids: list, lengths: list[int], bits: int) -> byte
         planes += [pack(raw.tobytes()), pack((np.cumsum(ones, dtype=np.uint32) - ones).astype("<u4").tobytes())]
         zeros.append(len(ids) - int(np.count_nonzero(bit)))
         if k:
-            next_ids = np.empty_like(ids)
-            next_ids[zeros[-1]:] = ids[bit]
-            np.logical_not(bit, out=bit)
-            next_ids[:zeros[-1]] = ids[bit]
-            ids = next_ids
+            # Compress and take cost a third of what boolean indexing does.
+            ids = np.concatenate([np.compress(~bit, ids), np.compress(bit, ids)])
     head = json.dumps({"n": len(ids), "bits": bits, "zeros": zeros, "sizes": [len(p) for p in planes], "doc_ids": doc_ids, "lengths": lengths}).encode()
     head = pack(head)
     return _MAGIC + struct.pack("<I", len(head)) + head + b"".join(planes)
@@ -142,8 +139,8 @@ class Wavelet:
             bit = np.unpackbits(self.raw[k], count=self.n).view(bool)
             zeros = self.zeros[k]
             out = np.empty_like(ids)
-            out[~bit] = ids[:zeros]
-            out[bit] = ids[zeros:] | ids.dtype.type(1 << (self.bits - 1 - k))
+            out[np.flatnonzero(~bit)] = ids[:zeros]
+            out[np.flatnonzero(bit)] = ids[zeros:] | ids.dtype.type(1 << (self.bits - 1 - k))
             ids = out
         return ids
 

@@ -37,13 +37,13 @@ from .shingles import mix, shingles
 
 #: Hash cells in which very frequent shingles are found: a fixed size, whatever the corpus.
 CELLS = 1 << 20
-_CELL_BLOCKS = 16
+_CELL_BLOCKS = 64
 #: A cell of so many entries, and of twice the mean, is split by salts.
 HOT = 1 << 16
 #: Entries that a part is meant to count.
 PART = 2_000_000
 #: Entries that a task holds before it deals them out.
-_BLOCK = 1_000_000
+_BLOCK = 500_000
 #: Nodes that a task remembers, so that their copies are not described again.
 _SEEN = 200_000
 #: Lists of up to so many nodes are compared pair by pair at once.
@@ -90,9 +90,10 @@ def node_of(s: np.ndarray) -> int | None:
 
 def _describe(docs: DataFrame) -> DataFrame:
     """A row a document: doc_id, text_hash, node (null: no words), n and, once for a
-    node and task, bits.  Besides, rows with block and counts: a task's entries by cell."""
-    names = ["doc_id", "text_hash", "node", "n", "bits", "block", "counts"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
+    node and task, bits.  Besides, rows with block, width, cells and counts: a task's
+    entries in the cells of a block, or if cells is null in every cell."""
+    names = ["doc_id", "text_hash", "node", "n", "bits", "block", "width", "cells", "counts"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
 
     def run(batches):
         seen, total = set(), np.zeros(CELLS, np.int64)
@@ -115,11 +116,18 @@ def _describe(docs: DataFrame) -> DataFrame:
                 total += np.bincount(np.concatenate(cells), minlength=CELLS)
             columns = [batch.column(0), batch.column(2), *(pa.array(c, k) for c, k in zip((node, n, bits), kinds[2:])), *(pa.nulls(len(n), k) for k in kinds[5:])]
             yield pa.RecordBatch.from_arrays(columns, names)
-        blocks = [b.tobytes() for b in total.reshape(_CELL_BLOCKS, -1)]
-        yield pa.RecordBatch.from_arrays([*(pa.nulls(_CELL_BLOCKS, k) for k in kinds[:5]), pa.array(range(_CELL_BLOCKS), pa.int32()), pa.array(blocks, pa.binary())], names)
+        rows = []
+        for k, own in enumerate(total.reshape(_CELL_BLOCKS, -1)):
+            kind = np.min_scalar_type(own.max())
+            some = np.flatnonzero(own)
+            if len(some) * (2 + kind.itemsize) < len(own) * kind.itemsize:
+                rows.append((k, kind.itemsize, some.astype(np.uint16).tobytes(), own[some].astype(kind).tobytes()))
+            else:
+                rows.append((k, kind.itemsize, None, own.astype(kind).tobytes()))
+        yield pa.RecordBatch.from_arrays([*(pa.nulls(_CELL_BLOCKS, k) for k in kinds[:5]), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds[5:]))], names)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64(F.col("text").cast("string"))).mapInArrow(
-        run, "doc_id long, text_hash long, node long, n long, bits binary, block int, counts binary")
+        run, "doc_id long, text_hash long, node long, n long, bits binary, block int, width int, cells binary, counts binary")
 
 
 def _cell_counts(described: DataFrame) -> np.ndarray:
@@ -128,11 +136,11 @@ def _cell_counts(described: DataFrame) -> np.ndarray:
     def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(CELLS // _CELL_BLOCKS, np.int64)
         for batch in batches:
-            for raw in batch.column("counts").to_pylist():
-                total += np.frombuffer(raw, np.int64)
+            for width, cells, raw in zip(*(batch.column(c).to_pylist() for c in ("width", "cells", "counts"))):
+                total[slice(None) if cells is None else np.frombuffer(cells, np.uint16)] += np.frombuffer(raw, f"u{width}").astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["block", "counts"])
 
-    blocks = described.where("block IS NOT NULL").select("block", "counts").groupBy("block").applyInArrow(
+    blocks = described.where("block IS NOT NULL").select("block", "width", "cells", "counts").groupBy("block").applyInArrow(
         add, "block int, counts binary").collect()  # CELLS numbers, whatever the corpus
     return np.concatenate([np.frombuffer(bytes(r.counts), np.int64) for r in sorted(blocks, key=lambda r: r.block)]) if blocks else np.zeros(CELLS, np.int64)
 
@@ -545,7 +553,7 @@ def _labelled(docs: DataFrame, threshold: Fraction) -> tuple[DataFrame, DataFram
     docs = bounded_batches(docs).select("doc_id", "text")
     described = materialize(_describe(docs), "sets")
     counts = _cell_counts(described)
-    described = described.where("block IS NULL").drop("block", "counts")
+    described = described.where("block IS NULL").drop("block", "width", "cells", "counts")
     fewest = int(spark.conf.get("spark.sql.shuffle.partitions"))
     parts = max(fewest, int(counts.sum()) // PART)
     listed = materialize(_prefixes(_counted(_postings(docs, counts, parts), parts), threshold), "prefixes")

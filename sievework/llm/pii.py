@@ -16,19 +16,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 8
+#: Steps of a walk over numbers that mean no date, a fifth of all: more than any takes.
+WALK = 40
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-#: kind -> Java pattern, in the order in which they are tried at a place.
+#: kind -> Java pattern, in the order in which they are tried at a place.  The value of
+#: a secret is the first numbered group; the separators of others are named ones.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}",
     "key": r"(?<![A-Za-z0-9])A(?:KIA|SIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
-    "secret": r"(?<=\b(?:password|passwd|secret|token|api_key)(?: ?[=:] ?\"?))[A-Za-z0-9]{8,}+",
+    "secret": r"(?<=\b(?:password|passwd|secret|token|api_key)(?: ?[=:] ?\"?))([^\s\"'<>(),;&]{7,}[A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "ip": rf"(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\w|\.\w)",
-    "date": r"(?<![\w.-])(?:(?:19|20)\d\d-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])([./])(?:0[1-9]|[12]\d|3[01])\1(?:19|20)\d\d)(?![\w-])",
-    "card": r"(?<![\w-])(?:\d{4}([ -]?)\d{4}\2\d{4}\2\d{1,7}|3[47]\d\d([ -]?)\d{6}\3\d{5})(?![\w-])",
+    "ip": rf"(?<![\w.])(?<!(?:[Vv]ersion|[Vv]er|[Rr]elease|[Bb]uild)[ .:=]{{0,2}})(?:{_OCTET}\.){{3}}{_OCTET}(?!\w|\.\w)",
+    "date": r"(?<![\w.-])(?:(?:19|20)\d\d-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])(?<dot>[./])(?:0[1-9]|[12]\d|3[01])\k<dot>(?:19|20)\d\d)(?![\w-])",
+    "card": r"(?<![\w-])(?:\d{4}(?<four>[ -]?)\d{4}\k<four>\d{4}\k<four>\d{1,7}|3[47]\d\d(?<six>[ -]?)\d{6}\k<six>\d{5})(?![\w-])",
     "ssn": r"(?<![\w-])(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}(?![\w-])",
-    "phone": r"(?<![\w+(])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\w)|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\w)|(?<![\w.-])[2-9]\d\d([-. ])[2-9]\d\d\4\d{4}(?![\w-])",
+    "phone": r"(?<![\w+(])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\w)|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\w)|(?<![\w.-])[2-9]\d\d(?<gap>[-. ])[2-9]\d\d\k<gap>\d{4}(?![\w-])",
 }
 #: No text without these holds any of them.
 _MAY_HOLD = "[0-9@=:]|AKIA|ASIA"
@@ -42,12 +45,6 @@ def _q(text: str) -> str:
 def _whole(value: str, kind: str) -> str:
     """Whether value is of the kind, as seen without its surroundings."""
     pattern = PATTERNS[kind]
-    for i in (4, 3, 2):
-        pattern = pattern.replace(f"\\{i}", "\\1") if kind != "card" else pattern
-    if kind == "card":
-        pattern = pattern.replace("\\3", "\\9").replace("\\2", "\\1").replace("\\9", "\\2")
-    if kind == "secret":
-        pattern = "[A-Za-z0-9]{8,}"
     return f"({value} RLIKE {_q('^(?:' + pattern + ')$')})"
 
 
@@ -116,20 +113,24 @@ def _replacements(key: str) -> dict[str, str]:
             f"concat(substr(d, 1, 2), lpad(CAST(98 - {_mod97('concat(n, substr(d, 1, 2), ' + _q('00') + ')')} AS STRING), 2, '0'), n)", "z", _laid("m", "z"))) + " END")
     octets = "aggregate(split(m, '[.]'), 0L, (t, o) -> t * 256L + CAST(o AS BIGINT))"
     ip = _let(permuted_number(octets, 65536, 65536, key, "ip"), "n", "concat_ws('.', n div 16777216L, n div 65536L % 256L, n div 256L % 256L, n % 256L)")
-    # Days of 1900 to 2099: 17 * 4297.  A day above 12 tells day-first from month-first.
-    layout = "CASE WHEN substr(m, 5, 1) = '-' THEN 'yyyy-MM-dd' WHEN substr(m, 3, 1) = '.' OR substr(m, 1, 2) > '12' THEN concat('dd', substr(m, 3, 1), 'MM', substr(m, 3, 1), 'yyyy') ELSE 'MM/dd/yyyy' END"
-    day = "CASE WHEN substr(m, 5, 1) = '-' THEN try_to_date(m, 'yyyy-MM-dd') WHEN substr(m, 3, 1) = '.' THEN try_to_date(m, 'dd.MM.yyyy') WHEN substr(m, 1, 2) > '12' THEN try_to_date(m, 'dd/MM/yyyy') ELSE try_to_date(m, 'MM/dd/yyyy') END"
-    date = _let(day, "d", "CASE WHEN d IS NOT NULL THEN " + _let(
-        f"date_add(DATE'1900-01-01', CAST({permuted_number('CAST(datediff(d, DATE' + _q('1900-01-01') + ') AS BIGINT)', 17, 4297, key, 'date')} AS INT))", "n",
-        "CASE WHEN substr(m, 5, 1) = '-' THEN date_format(n, 'yyyy-MM-dd') WHEN substr(m, 3, 1) = '.' THEN date_format(n, 'dd.MM.yyyy') WHEN substr(m, 1, 2) > '12' THEN date_format(n, 'dd/MM/yyyy') ELSE date_format(n, 'MM/dd/yyyy') END") + " END")
-    del layout
+    # Days of 1900 to 2099: 17 * 4297.  With strokes, a day above 12 tells day-first
+    # from month-first; both are one set of values, so that no two get one pseudonym:
+    # number 2 * day + (day-first), and numbers that mean no value are walked over.
+    number = lambda d: f"CAST(datediff({d}, DATE'1900-01-01') AS BIGINT)"
+    since = lambda n: f"date_add(DATE'1900-01-01', CAST({n} AS INT))"
+    plain = lambda pattern: _let(f"try_to_date(m, '{pattern}')", "d", f"CASE WHEN d IS NOT NULL THEN date_format({since(permuted_number(number('d'), 17, 4297, key, 'date'))}, '{pattern}') END")
+    first = "substr(m, 1, 2) > '12'"
+    means = f"(x % 2L = 0L OR day({since('x div 2L')}) > 12)"
+    walked = f"aggregate(sequence(1, {WALK}), 2L * {number('d')} + IF({first}, 1L, 0L), (x, turn) -> IF(turn > 1 AND {means}, x, {permuted_number('x', 34, 4297, key, 'date')}))"
+    strokes = _let(f"IF({first}, try_to_date(m, 'dd/MM/yyyy'), try_to_date(m, 'MM/dd/yyyy'))", "d", "CASE WHEN d IS NOT NULL THEN " + _let(
+        walked, "n", f"IF(n % 2L = 0L, date_format({since('n div 2L')}, 'MM/dd/yyyy'), date_format({since('n div 2L')}, 'dd/MM/yyyy'))") + " END")
+    date = f"CASE WHEN substr(m, 5, 1) = '-' THEN {plain('yyyy-MM-dd')} WHEN substr(m, 3, 1) = '.' THEN {plain('dd.MM.yyyy')} ELSE {strokes} END"
     # Area 001-665 and 667-899 without 666: 898 areas; 99 groups; 9999 numbers.
     ssn_index = "(CAST(substr(m, 1, 3) AS BIGINT) - IF(substr(m, 1, 3) > '666', 2, 1)) * 989901L + (CAST(substr(m, 5, 2) AS BIGINT) - 1) * 9999L + CAST(substr(m, 8) AS BIGINT) - 1"
     ssn = _let(permuted_number(ssn_index, 898 * 99, 9999, key, "ssn"), "n",
                "concat(lpad(CAST(n div 989901L + IF(n div 989901L >= 665, 2, 1) AS STRING), 3, '0'), '-', lpad(CAST(n div 9999L % 99 + 1 AS STRING), 2, '0'), '-', lpad(CAST(n % 9999L + 1 AS STRING), 4, '0'))")
     # Ten digits of the North American plan, areas and exchanges from 2: 8000 * 800000.
     plan = "right(d, 10)"
-    index = f"(CAST(substr({plan}, 1, 1) AS BIGINT) - 2) * 800000000L + CAST(substr({plan}, 2, 3) AS BIGINT) % 1000 * 800000L"
     index = (f"((CAST(substr({plan}, 1, 1) AS BIGINT) - 2) * 1000 + CAST(concat(substr({plan}, 2, 2), substr({plan}, 5, 1)) AS BIGINT)) * 800000L "
              f"+ (CAST(substr({plan}, 4, 1) AS BIGINT) - 2) * 100000L + CAST(substr({plan}, 6) AS BIGINT)")
     american = _let(permuted_number(index, 8000, 800000, key, "phone"), "n", _let(
@@ -143,23 +144,26 @@ def _replacements(key: str) -> dict[str, str]:
             "phone": phone, "secret": permuted_text("m", key, "secret")}
 
 
-def pseudonymize(docs: DataFrame, key: str = "change-me", text: str = "text") -> DataFrame:
+def pseudonymize(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """All rows of docs in `_row`, and _masked (the text with pseudonyms), n_found
     and pseudonyms array<struct<kind, value>>.
 
     Null stays null, with none found; a text without personal data stays as it
-    is.  What fails validation (check digits, calendar) stays too.  Repeated rows
+    is.  What fails validation (check digits, calendar) stays too, but what stands
+    behind a secret's name is masked whatever it looks like.  Repeated rows
     are masked alike; an empty table gives no rows; very long texts take time in
     proportion to their length.  Keep key secret: it links and would unlock.
     """
+    if not key:
+        raise ValueError("a key is needed")
     every = "|".join(f"(?:{p})" for p in PATTERNS.values())
     new = _replacements(key)
-    kind = "CASE " + " ".join(f"WHEN {_whole('m', k)} THEN {_q(k)}" for k in ["email", "key", "iban", "ip", "date", "card", "ssn", "phone"]) + " ELSE 'secret' END"
+    kind = "CASE WHEN named <> '' THEN 'secret' " + " ".join(f"WHEN {_whole('m', k)} THEN {_q(k)}" for k in ["email", "key", "iban", "ip", "date", "card", "ssn", "phone"]) + " ELSE 'secret' END"
     value = "CASE k " + " ".join(f"WHEN {_q(k)} THEN {sql}" for k, sql in new.items()) + " END"
     row = docs.select(F.struct("*").alias("_row")).withColumn("_t", F.col(f"_row.`{text}`").cast("string"))
     found = row.withColumn("_found", F.expr(f"CASE WHEN _t RLIKE {_q(_MAY_HOLD)} THEN regexp_extract_all(_t, {_q(every)}, 0) END"))
     named = found.withColumn("_new", F.expr(
-        f"transform(transform(_found, m -> named_struct('m', m, 'k', {kind})), e -> named_struct('m', e.m, 'k', e.k, 'v', {_let('e.m', 'm', _let('e.k', 'k', value))}))"))
+        f"transform(zip_with(_found, regexp_extract_all(_t, {_q(every)}, 1), (m, named) -> named_struct('m', m, 'k', {kind})), e -> named_struct('m', e.m, 'k', e.k, 'v', {_let('e.m', 'm', _let('e.k', 'k', value))}))"))
     whole = F.expr(f"CASE WHEN size(_found) > 0 THEN array_join(zip_with(split(_t, {_q(every)}, -1), transform(_new, e -> coalesce(e.v, e.m)), (x, y) -> concat(x, coalesce(y, ''))), '') ELSE _t END")
     valid = F.expr("transform(filter(_new, e -> e.v IS NOT NULL), e -> named_struct('kind', e.k, 'value', e.v))")
     return named.select("_row", whole.alias("_masked"), F.coalesce(F.expr("CAST(size(filter(_new, e -> e.v IS NOT NULL)) AS BIGINT)"), F.lit(0)).cast("long").alias("n_found"),

@@ -17,6 +17,12 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def pseudonym_key(spark: SparkSession) -> str:
+    """The session's spark.sievework.pseudonym.key.  Without one the registered queries
+    use a public key, so that their results can be compared: no protection at all."""
+    return spark.conf.get("spark.sievework.pseudonym.key", None) or "public key of the registered queries"
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -49,7 +55,7 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import pseudonymize
 
-    return pseudonymize(_table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+    return pseudonymize(_table(spark, sf_dir, "documents").select("doc_id", "text"), pseudonym_key(spark)).select(
         F.col("_row.doc_id").alias("doc_id"), F.col("_masked").alias("text"), "n_found", "pseudonyms")
 
 

@@ -1,11 +1,15 @@
 """Sharding, fingerprints, line dedup and pseudonyms, against brute force."""
 
+import datetime
 import hashlib
+import random
 import re
+import string
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 from sievework.llm.line_dedup import dedup_lines, keep_bitmaps
 from sievework.llm.pii import pseudonymize
@@ -115,8 +119,8 @@ def test_pseudonyms(spark, docs, none):
         d = p.value.replace(" ", "")
         assert int("".join(str(int(c, 36)) for c in d[4:] + d[:4])) % 97 == 1
     assert pseudonymize(df, "other").select("_masked").first()._masked != out[0]._masked
-    masked = pseudonymize(docs)
-    assert masked.count() == len(rows()) and masked.select("_row.*").columns == docs.columns and pseudonymize(none).count() == 0
+    masked = pseudonymize(docs, "k")
+    assert masked.count() == len(rows()) and masked.select("_row.*").columns == docs.columns and pseudonymize(none, "k").count() == 0
 
 
 def test_secrets_without_digits_and_long_ones(spark):
@@ -129,6 +133,85 @@ def test_secrets_without_digits_and_long_ones(spark):
         assert out[i]._masked == text.replace(secret, out[i].pseudonyms[0].value) and out[i].pseudonyms[0].kind == ("key" if i < 2 else "secret")
 
 
+def _plain_text(value, key, kind):
+    """The text permutation in plain Python."""
+    a, b = value[:len(value) // 2], value[len(value) // 2:]
+    for i in range(1, 9):
+        digest = hashlib.sha256(f"{key}|{kind}|{i}|{b}".encode()).hexdigest()
+        moved = ""
+        for j, c in enumerate(a):
+            k = int(digest[4 * (j % 16):4 * (j % 16) + 4], 16)
+            base, n = (48, 10) if "0" <= c <= "9" else (97, 26) if "a" <= c <= "z" else (65, 26) if "A" <= c <= "Z" else (0, 0)
+            moved += chr(base + (ord(c) - base + k) % n) if n else c
+        a, b = b, moved
+    return a + b
+
+
+def _plain_number(value, m, n, key, kind):
+    left, right = divmod(value, n)
+    for i in range(1, 9):
+        number = lambda other: int(hashlib.sha256(f"{key}|{kind}|{i}|{other}".encode()).hexdigest()[:15], 16)  # noqa: E731, B023
+        if i % 2 == 0:
+            left = (left + number(right)) % m
+        else:
+            right = (right + number(left)) % n
+    return left * n + right
+
+
+def _plain_date(m, key):
+    iso, dot = m[4] == "-", m[2] == "."
+    style = "%Y-%m-%d" if iso else "%d.%m.%Y" if dot else "%d/%m/%Y" if m[:2] > "12" else "%m/%d/%Y"
+    day = (datetime.datetime.strptime(m, style).date() - datetime.date(1900, 1, 1)).days
+    later = lambda n: datetime.date(1900, 1, 1) + datetime.timedelta(n)
+    if iso or dot:
+        return later(_plain_number(day, 17, 4297, key, "date")).strftime(style)
+    x = _plain_number(2 * day + (m[:2] > "12"), 34, 4297, key, "date")
+    while x % 2 and later(x // 2).day <= 12:
+        x = _plain_number(x, 34, 4297, key, "date")
+    return later(x // 2).strftime("%d/%m/%Y" if x % 2 else "%m/%d/%Y")
+
+
+def test_pseudonyms_equal_plain_python(spark):
+    """A plain matcher and Feistel network give the same texts."""
+    r = random.Random(4)
+    word = lambda n: "".join(r.choice(string.ascii_letters + string.digits) for _ in range(n))
+    texts, want = [], []
+    for i in range(120):
+        parts, masked = [], []
+        for _ in range(4):
+            kind = r.choice(["secret", "key", "ip", "iso", "stroke", "dot", "email", "plain"])
+            if kind == "secret":
+                name, value = r.choice(["password=", "token: ", 'secret="', "api_key = "]), r.choice([word(12), "1234567812345678", "GH45ABCDEFGH", "4539578763621487", "hunter2!pass", "a-b_c.d!e9"])
+                pair = name + value, name + _plain_text(value, "k", "secret")
+            elif kind == "key":
+                value = "".join(r.choice(string.ascii_uppercase + string.digits) for _ in range(16))
+                pair = "AKIA" + value, "AKIA" + _plain_text(value, "k", "key")
+            elif kind == "ip":
+                n = r.randrange(1 << 32)
+                to = _plain_number(n, 65536, 65536, "k", "ip")
+                pair = tuple(".".join(str(x >> s & 255) for s in (24, 16, 8, 0)) for x in (n, to))
+            elif kind in ("iso", "stroke", "dot"):
+                day = datetime.date(1900, 1, 1) + datetime.timedelta(r.randrange(73049))
+                value = day.strftime({"iso": "%Y-%m-%d", "dot": "%d.%m.%Y", "stroke": r.choice(["%m/%d/%Y", "%d/%m/%Y"])}[kind])
+                pair = value, _plain_date(value, "k")
+            elif kind == "email":
+                value = word(9)
+                pair = f"{value}@example.com", f"{_plain_text(value, 'k', 'email')}@example.com"
+            else:
+                pair = ("version 1.2.3.4",) * 2
+            parts.append(pair[0]), masked.append(pair[1])
+        texts.append(" | ".join(parts)), want.append(" | ".join(masked))
+    got = pseudonymize(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").select("_row.doc_id", "_masked").collect()
+    assert [x._masked for x in sorted(got, key=lambda x: x.doc_id)] == want
+    with pytest.raises(ValueError):
+        pseudonymize(spark.createDataFrame([], "doc_id long, text string"), "")
+
+
+def test_dates_with_strokes_stay_different():
+    every = [d.strftime(s) for n in range(0, 73049, 7) for d in [datetime.date(1900, 1, 1) + datetime.timedelta(n)] for s in (["%m/%d/%Y", "%d/%m/%Y"] if d.day > 12 else ["%m/%d/%Y"])]
+    assert len({_plain_date(d, "k") for d in every}) == len(every)
+
+
 def test_feistel_is_a_permutation(spark):
     from sievework.llm.pii import permuted_number, permuted_text
 

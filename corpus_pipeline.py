@@ -13,7 +13,7 @@ from sievework.llm.line_dedup import dedup_lines
 from sievework.llm.ngram_join import representatives
 from sievework.llm.packing import pack
 from sievework.llm.pii import pseudonymize
-from sievework.llm.queries import tokenizer_path
+from sievework.llm.queries import pseudonym_key, tokenizer_path
 
 #: A document is rejected below this cosine with every language, or without letters.
 LEAST_SCORE = 0.05
@@ -49,7 +49,7 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Validated personal data give way to pseudonyms of their format."""
-    return _with_text(pseudonymize(docs), docs.columns, "_masked")
+    return _with_text(pseudonymize(docs, pseudonym_key(spark)), docs.columns, "_masked")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,7 +7,9 @@ they hold enough rows.
 How many is calibrated: for a bounded number of queries the true neighbours are
 found among all rows, and visits widen until the wanted share of them is reached.
 
-Leaves meet their queries in tiles of bounded size, whatever a leaf holds.
+Of equal vectors only the k + 1 smallest ids can be an answer, so only those are
+put into leaves.  A leaf meets its queries; what holds more than TILE rows or is
+asked by more than TILE queries is split, so tasks stay bounded whatever a leaf holds.
 """
 
 from __future__ import annotations
@@ -21,15 +23,15 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, materialize
 
-#: Rows on which the tree is fitted, in expectation.
-FIT_ROWS = 20_000
+#: Rows on which the tree is fitted, in expectation: FIT_ROOT times the root of all
+#: rows, within these bounds.
+FIT_ROWS, FIT_MOST, FIT_ROOT = 20_000, 200_000, 8
 #: Queries whose true neighbours calibrate the visits, in expectation.
 CALIBRATION = 400
 #: Children of a node, rows that a leaf is meant to hold, sampled rows it needs.
 BRANCH, LEAF_ROWS, LEAF_SAMPLE = 8, 512, 8
-#: Rows and queries of a tile, which holds the leaves of one of GROUPS groups.
+#: Rows and queries of a tile of a leaf.
 TILE = 4096
-GROUPS = 64
 RECALL = 0.97
 
 
@@ -169,17 +171,21 @@ def usable(vectors: DataFrame) -> DataFrame:
 
 
 def search(vectors: DataFrame, every: int = 50, k: int = 5, recall: float = RECALL) -> DataFrame:
-    """query_id, rank, vec_id, score of the k nearest found of each query.
+    """query_id, rank, vec_id, score of the k nearest found of each query, and recall:
+    the share of true neighbours that the calibration found at the chosen visits.
 
     Queries are the usable rows (see usable) whose vec_id is divisible by every.
-    An empty table, or one with a single usable row, gives no rows.
+    An empty table, or one with a single usable row, gives no rows.  Columns other
+    than vec_id and embedding are ignored; a very long vector is one of another
+    length.
     """
     spark = vectors.sparkSession
-    rows = materialize(usable(bounded_batches(vectors)), "vectors")
-    total = rows.count()
-    is_query = F.pmod("vec_id", F.lit(every)) == 0
+    twin = Window.partitionBy("v").orderBy("vec_id")
+    rows = materialize(usable(bounded_batches(vectors.select("vec_id", "embedding"))).withColumn("twin", F.row_number().over(twin)), "vectors")
+    kept, total = rows.where(F.col("twin") <= k + 1).select("vec_id", "v"), rows.count()
+    fit_rows = min(FIT_MOST, max(FIT_ROWS, int(FIT_ROOT * total ** 0.5)))
     chance = F.pmod(F.xxhash64(F.lit(3), "vec_id"), F.lit(1 << 30)) / float(1 << 30)
-    sample = rows.where(chance < min(1.0, FIT_ROWS / max(total, 1))).select("v").toArrow()  # FIT_ROWS vectors
+    sample = kept.where(chance < min(1.0, fit_rows / max(total, 1))).select("v").toArrow()  # fit_rows vectors
     points = _unit(_matrix(sample.column(0))) if sample.num_rows else np.empty((0, 1))
     tree = Tree(points, max(LEAF_SAMPLE, LEAF_ROWS * len(points) // max(total, 1)))
     shared = spark.sparkContext.broadcast(tree)
@@ -189,56 +195,42 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, recall: float = RECA
             leaf = shared.value.assign(_unit(_matrix(batch.column(1)))) if batch.num_rows else np.empty(0, np.int32)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf, pa.int32())], ["vec_id", "v", "leaf"])
 
-    placed = materialize(rows.mapInArrow(place, "vec_id long, v array<double>, leaf int"), "leaves")
-    asked = placed.where(is_query)
+    placed = materialize(kept.mapInArrow(place, "vec_id long, v array<double>, leaf int"), "leaves")
+    asked = rows.where(F.pmod("vec_id", F.lit(every)) == 0).select("vec_id", "v")
     n_asked = asked.count()
-    trial = [(r.vec_id, r.v) for r in asked.where(chance < min(1.0, CALIBRATION / max(n_asked, 1))).select("vec_id", "v").collect()]  # CALIBRATION vectors
-    visits = tree.leaves
+    trial = [(r.vec_id, r.v) for r in asked.where(chance < min(1.0, CALIBRATION / max(n_asked, 1))).collect()]  # CALIBRATION vectors
+    visits, reached = tree.leaves, 1.0
     if trial:
-        true = _brute(placed, trial, k).join(placed.select("vec_id", "leaf"), "vec_id").select("query_id", "leaf").collect()  # k rows a trial query
+        true = _brute(placed.select("vec_id", "v"), trial, k).join(placed.select("vec_id", "leaf"), "vec_id").select("query_id", "leaf").collect()  # k rows a trial query
         turn = {q: {leaf: i for i, leaf in enumerate(tree.visit(_unit(np.array([v]))[0], tree.leaves))} for q, v in trial}
         needed = np.sort([turn[r.query_id][r.leaf] + 1 for r in true])
         if len(needed):
             visits = int(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))) - 1)])
-    sizes = spark.sparkContext.broadcast({r.leaf: r["count"] for r in placed.groupBy("leaf").count().collect()})  # a number a leaf
+            reached = float((needed <= visits).mean())
+    held = spark.sparkContext.broadcast({r.leaf: r["count"] for r in placed.groupBy("leaf").count().collect()})  # a number a leaf
 
     def go(batches):
         for batch in batches:
             points = _unit(_matrix(batch.column(1))) if batch.num_rows else []
-            at, group, leaves = [], [], []
-            for i, p in enumerate(points):
-                own: dict[int, list[int]] = {}
-                for leaf in shared.value.visit(p, visits, sizes.value, k + 1):  # the query's own row is none of its k
-                    own.setdefault(leaf % GROUPS, []).append(leaf)
-                at += [i] * len(own)
-                group += own
-                leaves += own.values()
-            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(at, pa.int64())) for c in batch.columns), pa.array(group, pa.int32()), pa.array(leaves, pa.list_(pa.int32()))], ["vec_id", "v", "group", "leaves"])
-
-    calls = asked.select("vec_id", "v").mapInArrow(go, "vec_id long, v array<double>, group int, leaves array<int>")
-    grouped = placed.withColumn("group", F.col("leaf") % GROUPS)
-    # GROUPS rows.
-    tiles = lambda df, name: df.groupBy("group").agg(F.expr(f"CAST(ceil(count(*) / {TILE}) AS INT)").alias(name))
-    sizes = tiles(grouped, "row_tiles").join(tiles(calls, "call_tiles"), "group")
+            # The query's own row is none of its k.
+            leaves = [shared.value.visit(p, visits, held.value, k + 1) for p in points]
+            at = np.repeat(np.arange(len(leaves)), [len(x) for x in leaves])
+            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(at, pa.int64())) for c in batch.columns), pa.array([x for own in leaves for x in own], pa.int32())], ["vec_id", "v", "leaf"])
+
+    calls = materialize(asked.mapInArrow(go, "vec_id long, v array<double>, leaf int"), "calls")
+    # A row a leaf; the tree, and so their number, is bounded by FIT_MOST.
+    tiles = lambda df, name: df.groupBy("leaf").agg(F.expr(f"CAST(ceil(count(*) / {TILE}) AS INT)").alias(name))
+    sizes = F.broadcast(tiles(placed, "row_tiles").join(tiles(calls, "call_tiles"), "leaf"))
     part = lambda n: F.pmod(F.xxhash64(F.lit(9), "vec_id"), F.col(n)).cast("int")
     every_part = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = grouped.join(F.broadcast(sizes), "group").withColumn("row_part", part("row_tiles")).withColumn("call_part", every_part("call_tiles"))
-    right = calls.join(F.broadcast(sizes), "group").withColumn("call_part", part("call_tiles")).withColumn("row_part", every_part("row_tiles"))
-    keys = ["group", "row_part", "call_part"]
+    left = placed.join(sizes, "leaf").withColumn("row_part", part("row_tiles")).withColumn("call_part", every_part("call_tiles"))
+    right = calls.join(sizes, "leaf").withColumn("call_part", part("call_tiles")).withColumn("row_part", every_part("row_tiles"))
+    keys = ["leaf", "row_part", "call_part"]
 
     def meet(own, other):
         if not own.num_rows or not other.num_rows:
             return pa.Table.from_batches([_hits([])])
-        rows, row_ids, leaf = _matrix(own.column("v")), own.column("vec_id").to_numpy(), own.column("leaf").to_numpy()
-        asks, ask_ids, leaves = _matrix(other.column("v")), other.column("vec_id").to_numpy(), other.column("leaves").to_pylist()
-        best: dict[int, list] = {}
-        for one in np.unique(leaf).tolist():
-            k_asks = np.array([i for i, x in enumerate(leaves) if one in x], np.int64)
-            if len(k_asks):
-                here = leaf == one
-                for hit in nearest(asks[k_asks], ask_ids[k_asks], rows[here], row_ids[here], k):
-                    best.setdefault(hit[0], []).append(hit)
-        return pa.Table.from_batches([_hits([h for found in best.values() for h in sorted(found, key=lambda h: (-h[2], h[1]))[:k]])])
-
-    hits = left.select(*keys, "vec_id", "v", "leaf").groupBy(*keys).cogroup(right.select(*keys, "vec_id", "v", "leaves").groupBy(*keys)).applyInArrow(meet, "query_id long, vec_id long, score double")
-    return _ranked(hits, k)
+        return pa.Table.from_batches([_hits(nearest(_matrix(other.column("v")), other.column("vec_id").to_numpy(), _matrix(own.column("v")), own.column("vec_id").to_numpy(), k))])
+
+    hits = left.select(*keys, "vec_id", "v").groupBy(*keys).cogroup(right.select(*keys, "vec_id", "v").groupBy(*keys)).applyInArrow(meet, "query_id long, vec_id long, score double")
+    return _ranked(hits, k).withColumn("recall", F.lit(reached))

@@ -48,9 +48,10 @@ def test_nearest(spark, monkeypatch):
     monkeypatch.setattr(ann, "TILE", 64)
     monkeypatch.setattr(ann, "LEAF_ROWS", 100)
     data = _vectors()
-    df = spark.createDataFrame(data, "vec_id long, embedding array<float>").withColumnRenamed("x", "y")
+    df = spark.createDataFrame(data, "vec_id long, embedding array<float>").selectExpr("*", "'x' AS v", "'y' AS leaf", "vec_id AS query_id", "1 AS rank")
     got = defaultdict(list)
     for x in ann.search(df).orderBy("query_id", "rank").collect():
+        assert 0.97 <= x.recall <= 1.0
         got[x.query_id].append((x["rank"], x.vec_id, x.score))
     m = np.array([v for i, v in data[:3000]], np.float32).astype(float)
     unit = m / np.linalg.norm(m, axis=1, keepdims=True)

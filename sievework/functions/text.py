@@ -19,6 +19,9 @@ from pyspark.sql import types as T
 _WORD = r"[\p{L}\p{N}_]+"
 _TOKEN = r"[\p{L}\p{N}]+"
 _CJK = r"[㐀-䶿一-鿿豈-﫿]"
+_CODE_FENCE = r"(?i)```(?:tsx|typescript|jsx|javascript|ts|js)\s*\n([\s\S]*?)```"
+_HTML_FENCE = r"(?is)^```(?:html)?\s*(.*?)\s*```$"
+# End of fixed values.
 
 
 def collapsed(text: Column) -> Column:

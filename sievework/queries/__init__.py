@@ -3,9 +3,9 @@ express them.  The tables stand in for record logs: documents for training
 records, benchmark for held-out cases, labels for decisions, conversations for
 sessions, pages for artifacts, events for telemetry, the order tables for lineage."""
 
-from . import aggregates, joins, ordered, partition, scalars
+from . import aggregates, joins, ordered, partition, records, scalars
 
-_ALL = {**scalars.QUERIES, **joins.QUERIES, **aggregates.QUERIES, **ordered.QUERIES, **partition.QUERIES}
+_ALL = {**scalars.QUERIES, **joins.QUERIES, **aggregates.QUERIES, **ordered.QUERIES, **partition.QUERIES, **records.QUERIES}
 
 
 def queries() -> dict:

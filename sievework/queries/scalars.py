@@ -98,7 +98,7 @@ def q_instruction_audit(t):
 
 
 # 5 stages; each of the three lists turns at its own pace.
-_STAGE_TEXT = f"text || {listed(['', '', '', *SECRET_SAMPLES[:4]], '(doc_id // 5)')} || {listed(['', '', *ACTIVE_SAMPLES[:5]], '(doc_id // 7)')} || {listed(CODE_SAMPLES, '(doc_id // 3)')}"
+_STAGE_TEXT = f"text || {listed(['', '', '', *SECRET_SAMPLES[:4]], '(doc_id // 5)')} || {listed(['', '', *ACTIVE_SAMPLES[:5]], '(doc_id // 7)')} || {listed(CODE_SAMPLES, '(doc_id // 3)')} || repeat('x', CASE WHEN doc_id % 11 = 3 THEN {S.CODE_LIMIT} ELSE 0 END)"
 
 
 @query(f"""WITH s AS (SELECT doc_id, ['plan','tool_policy','frontend','review','security'][(doc_id % 5 + 1)::INT] AS stage, {_STAGE_TEXT} AS text FROM documents)
@@ -108,7 +108,7 @@ WHEN stage = 'review' AND {any_sql('text', S.ACTIVE_PATTERNS)} THEN 'active_payl
 def q_stage_safety(t):
     stage = F.element_at(F.array(*map(F.lit, ["plan", "tool_policy", "frontend", "review", "security"])), (F.col("doc_id") % 5 + 1).cast("int"))
     turn = t.documents.withColumns({"five": F.expr("doc_id div 5"), "seven": F.expr("doc_id div 7"), "three": F.expr("doc_id div 3")})
-    text = F.concat("text", pick(["", "", "", *SECRET_SAMPLES[:4]], "five"), pick(["", "", *ACTIVE_SAMPLES[:5]], "seven"), pick(CODE_SAMPLES, "three"))
+    text = F.concat("text", pick(["", "", "", *SECRET_SAMPLES[:4]], "five"), pick(["", "", *ACTIVE_SAMPLES[:5]], "seven"), pick(CODE_SAMPLES, "three"), F.repeat(F.lit("x"), F.when(F.col("doc_id") % 11 == 3, S.CODE_LIMIT).otherwise(0)))
     s = turn.select("doc_id", stage.alias("stage"), text.alias("text"))
     return s.select("doc_id", "stage", S.stage_violation(F.col("stage"), F.col("text"), F.col("text"), F.col("text")).alias("violation"))
 

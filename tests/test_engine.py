@@ -11,6 +11,7 @@ from sievework.functions import numbers as N
 from sievework.functions import safety as S
 from sievework.functions import text as T
 from sievework.operators import dedup as D
+from sievework.operators import joins as J
 from sievework.operators import leakage as K
 from sievework.operators import ordered as O
 from sievework.plans import curation as C
@@ -25,7 +26,7 @@ def test_text_forms(spark):
     assert one(spark, " A  b\tC ", T.collapsed) == "a b c"
     assert one(spark, "Straße, ﬁn! x_1", T.nfkc_casefold) == "strasse, fin! x_1"
     assert one(spark, "a\r\nb\rc \n", T.newlined) == "a\nb\nc"
-    assert one(spark, "Ab 漢字1 c_d", T.tokens) == ["ab", "漢", "字", "1", "c", "d"]
+    assert one(spark, "Ab 漢字1 c_d", T.tokens) == ["ab", "漢字1", "c", "d"] and one(spark, "Ab漢字1 漢字, x", T.tokens) == ["ab漢字1", "漢", "字", "x"]
     assert one(spark, None, T.collapsed) is None
     assert one(spark, 'x {bad} {"b": 1, "a": {"c": "é"}} {}', T.first_json_object) == '{"a":{"c":"é"},"b":1}'
     assert one(spark, "```tsx\n code \n```", T.only_fenced_code) == "code" and one(spark, "```ts\na\n```\n```ts\nb\n```", T.only_fenced_code) is None
@@ -41,16 +42,45 @@ def test_secrets(spark):
     assert r.n == 3 and "script" not in r.t.lower().replace("defensive", "")
 
 
-def test_stage_safety_fires_every_rule(spark, tmp_path):
-    from sievework import queries as Q
-
+def test_stage_safety_fires_every_rule(spark):
     long = "x" * (S.CODE_LIMIT + 1)
     cases = [("password = hunter22x", [0, 1, 2, 3, 4], "secret_material"), ("<script>", [0, 1, 3, 4], "active_payload"), (long, [2, 3], "code_too_long"),
              ("el.innerHTML = x", [4], "unsafe_reviewed_code"), ('<b onclick="f()">', [4], "unsafe_reviewed_code"), ("<b onClick={f}>", [], None), ("plain", [], None)]
-    rows = [(5 * i + stage, text) for i, (text, _, _) in enumerate(cases) for stage in range(5)]
-    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    got = {r.doc_id: r.violation for r in Q.queries()["q_stage_safety"](spark, str(tmp_path)).collect()}
-    assert got == {5 * i + stage: code if stage in stages else None for i, (_, stages, code) in enumerate(cases) for stage in range(5)}
+    stages = ["plan", "tool_policy", "frontend", "review", "security"]
+    df = spark.createDataFrame([(5 * i + k, stage, text) for i, (text, _, _) in enumerate(cases) for k, stage in enumerate(stages)], "i long, stage string, text string")
+    got = {r.i: r.v for r in df.select("i", S.stage_violation(F.col("stage"), F.col("text"), F.col("text"), F.col("text")).alias("v")).collect()}
+    assert got == {5 * i + k: code if k in hit else None for i, (_, hit, code) in enumerate(cases) for k in range(5)}
+
+
+def test_insert_only_and_near_representatives(spark):
+    old = spark.createDataFrame([(1, "a"), (2, "b")], "id long, x string")
+    assert D.insert_only(old, spark.createDataFrame([(2, "b"), (3, "c"), (3, "c")], "id long, x string"), "id").count() == 3
+    for other in ([(2, "z")], [(4, "y"), (4, "z")]):
+        with pytest.raises(D.ConflictError):
+            D.insert_only(old, spark.createDataFrame(other, "id long, x string"), "id")
+    # A drifting chain, longer than any fixed number of rounds would allow for few, and rows without a text.
+    words = [f"w{i}" for i in range(260)]
+    texts = [(i, " ".join(words[2 * i:2 * i + 20])) for i in range(115)] + [(500, None), (501, None)]
+    df = spark.createDataFrame(texts, "id long, text string")
+    got = {r.id: r.representative for r in D.near_representatives(df, "id", "id", T.tokens(F.col("text")), 0.85, 0.8).collect()}
+    sets = {i: (set(t.split()), {tuple(t.split()[k:k + 3]) for k in range(len(t.split()) - 2)}) for i, t in texts if t}
+    inside = lambda a, b: len(a & b) / min(len(a), len(b))
+    reps, want = [], {500: 500, 501: 501}
+    for i in range(115):
+        near = [r for r in reps if inside(sets[r][0], sets[i][0]) >= 0.85 and inside(sets[r][1], sets[i][1]) >= 0.8]
+        want[i] = near[0] if near else i
+        reps += [] if near else [i]
+    assert got == want and len(reps) > 50
+
+
+def test_metric_tolerance_and_schedule(spark):
+    a = spark.createDataFrame([("a", 0.0), ("b", 1.0), ("c", 2e9)], "k string, v double")
+    b = spark.createDataFrame([("a", 1e-12), ("b", 1.1), ("c", 2e9 + 1)], "k string, v double")
+    assert [r.k for r in J.numeric_difference(a, b, ["k"], "v").collect()] == ["b"]
+    rows = O.exposure_schedule(spark.range(40).repartition(5), "id", 3, 1).collect()
+    for e in range(3):
+        own = sorted((r.position, r.order_key, r.id) for r in rows if r.epoch == e)
+        assert [p for p, _, _ in own] == list(range(40)) and [k for _, k, _ in own] == sorted(k for _, k, _ in own) and {i for _, _, i in own} == set(range(40))
 
 
 def test_labels(spark):

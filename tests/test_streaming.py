@@ -56,3 +56,42 @@ def test_tail(spark, tmp_path):
     lines = sorted(r.line for r in spark.table("tail").collect())
     q.stop()
     assert first == 2 and lines == ['{"n": 1}', '{"n": 2}', '{"n": 3}'] and os.path.exists(log)
+
+
+def test_tail_after_restarts(spark, tmp_path, monkeypatch):
+    """Growth, truncation, replacement and bad lines, the query down in between."""
+    import hashlib
+    import json
+
+    from sievework.sources import tail
+
+    monkeypatch.setattr(tail, "SPAN", 16)
+    spark.dataSource.register(JsonlTail)
+    log, out = tmp_path / "logs" / "a.jsonl", str(tmp_path / "out")
+    log.parent.mkdir()
+
+    def run():
+        q = (spark.readStream.format("jsonl_tail").option("path", str(log.parent / "*.jsonl")).load().writeStream.format("json").option("path", out)
+             .option("checkpointLocation", str(tmp_path / "cp")).start())
+        q.processAllAvailable()
+        q.stop()
+        rows = spark.read.schema(JsonlTail({}).schema()).json(out).collect()
+        return sorted(json.loads(r.line)["n"] for r in rows if r.line), {r.generation for r in rows}, {r.bad_sha256 for r in rows if r.bad_sha256}
+
+    text = lambda *ns: "".join(f'{{"n": {n}}}\n' for n in ns)
+    log.write_text(text(1, 2))
+    assert run()[0] == [1, 2]
+    with log.open("a") as f:
+        f.write(text(3) + "not json\n")
+    seen, generations, bad = run()
+    assert seen == [1, 2, 3] and len(generations) == 1 and bad == {hashlib.sha256(b"not json").hexdigest()}
+    log.write_text(text(10))  # cut off
+    seen, generations, _ = run()
+    assert seen == [1, 2, 3, 10] and len(generations) == 2
+    assert run()[0] == [1, 2, 3, 10]  # nothing twice
+    log.write_text(text(20, 21, 22, 23))  # cut off and past its old size while down
+    assert run()[0] == [1, 2, 3, 10, 20, 21, 22, 23]
+    other = log.parent / "b"
+    other.write_text(text(30, 31, 32, 33))  # replaced by one of the same size
+    os.replace(other, log)
+    assert run()[0] == [1, 2, 3, 10, 20, 21, 22, 23, 30, 31, 32, 33]

@@ -14,6 +14,7 @@ from ..operators import joins as J
 from ..operators import ordered as O
 from ..operators import partition as P
 from ..sources import jsonl
+from ..sources.scratch import cut
 
 STAGES = ["plan", "tool_policy", "frontend", "review", "security"]
 
@@ -44,6 +45,7 @@ def offline_partition(records: DataFrame, hard: Column, soft: Column, content: C
         lost = F.col("_loser").isNotNull()
         rows = rows.withColumn("labels", F.when(lost, F.array_sort(F.array_union("labels", F.array(F.lit("near_duplicate"))))).otherwise(F.col("labels"))).withColumn(
             "disposition", F.when(lost, F.lit("negative")).otherwise(F.col("disposition"))).drop("_loser")
+    rows = cut(rows, "partition")
     parts = P.split(rows, content, ident)
     counts = {f"{r[by]}:{r.disposition}": r.n for r in rows.groupBy(by, "disposition").agg(F.count("*").alias("n")).collect()}
     raw = sum(counts.values())

@@ -32,15 +32,12 @@ def change_log(events: DataFrame) -> DataFrame:
     """A row whenever a user's latest event type differs from the one kept in state."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        # The rows of one user in one batch.
         rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        last = state.get[0] if state.exists else None
-        out = []
-        for r in rows.itertuples():
-            if r.event_type != last:
-                out.append((key[0], r.event_id, last, r.event_type))
-                last = r.event_type
-        state.update((last,))
-        yield pd.DataFrame(out, columns=["user_id", "event_id", "previous", "current"])
+        before = rows["event_type"].shift(1, fill_value=state.get[0] if state.exists else None)
+        changed = rows["event_type"].ne(before) & ~(rows["event_type"].isna() & before.isna())
+        state.update((rows["event_type"].iloc[-1],))
+        yield pd.DataFrame({"user_id": key[0], "event_id": rows["event_id"], "previous": before, "current": rows["event_type"]})[changed]
 
     return events.groupBy("user_id").applyInPandasWithState(step, "user_id long, event_id long, previous string, current string", "last string", "append", "NoTimeout")
 

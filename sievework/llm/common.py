@@ -90,6 +90,15 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(session._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Small rows that may be broadcast.
+FEW_ROWS = 1_000_000
+
+
+def few(df: DataFrame, most: int = FEW_ROWS) -> DataFrame:
+    """df, to be broadcast if it has at most so many rows: for rows of a few numbers, counted before."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def number_rows(df: DataFrame, keys: list, name: str) -> DataFrame:
     """Dense row numbers from 0 in the order of keys, as `row_no`; written.
 
@@ -107,5 +116,5 @@ def number_rows(df: DataFrame, keys: list, name: str) -> DataFrame:
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     starts = placed.groupBy("_pid").agg(F.count("*").alias("_n")).select(
         "_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    # One row a partition: bounded by the partition count, not by the data.
-    return placed.join(F.broadcast(starts), "_pid").withColumn("row_no", F.col("_base") + F.col("_idx")).drop("_pid", "_idx", "_base")
+    # One row a partition.
+    return placed.join(few(starts), "_pid").withColumn("row_no", F.col("_base") + F.col("_idx")).drop("_pid", "_idx", "_base")

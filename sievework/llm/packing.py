@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialize
+from .common import bounded_batches, few, materialize
 from .tokens import encoder
 
 _FIELDS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, _pid int, _local long"
@@ -44,7 +44,8 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, longest: int = 2048,
 
     docs has doc_id and text; other columns are ignored, whatever their names.
     Null text is empty and gives the end id alone.  Null and repeated doc_id are
-    kept: each row is a document of its own.  An empty table gives no rows.
+    kept: each row is a document of its own.  An empty table gives no rows.  A very
+    long text takes time and memory in proportion to its length.
     with_ids adds the ids themselves, `ids` array<int>, for writers of training
     sequences; without it only their unsigned crc32 is carried.
     """
@@ -74,11 +75,12 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, longest: int = 2048,
 
     pieces = materialize(bounded_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
         cut, _FIELDS + (", ids array<int>" if with_ids else "")), "pieces")
-    before = Window.orderBy(F.desc("length"), "_pid").rowsBetween(Window.unboundedPreceding, -1)
-    # At most 1 + log2(longest) rows for each task of the scan.
-    bases = pieces.groupBy("_pid", "length").agg(F.count("*").alias("_n")).select(
-        "_pid", "length", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    out = pieces.join(F.broadcast(bases), ["_pid", "length"]).select(
+    # At most 1 + log2(longest) rows for each task of the scan, and in all.
+    here = pieces.groupBy("_pid", "length").agg(F.count("*").alias("_n"))
+    earlier = lambda order, *by: F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    longer = here.groupBy("length").agg(F.sum("_n").alias("_n")).select("length", earlier(F.desc("length")).alias("_first"))
+    bases = here.select("_pid", "length", earlier(F.asc("_pid"), "length").alias("_before")).join(F.broadcast(longer), "length").select("_pid", "length", (F.col("_first") + F.col("_before")).alias("_base"))
+    out = pieces.join(few(bases), ["_pid", "length"]).select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("_base") + F.col("_local")).alias("sequence_id"),
         F.lit(0).cast("long").alias("offset"), *(["ids"] if with_ids else []))
     return out

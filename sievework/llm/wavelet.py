@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialize
+from .common import bounded_batches, few, materialize
 from .tokens import encoder
 
 #: A file is closed after this many ids; a document is never split.
@@ -150,7 +150,9 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
 
     Each file is one Parquet file of one row in the shared folder.  Documents are
     dealt by range of doc_id (null first; equal doc_id by text), so a file is one
-    run of the global order.  Null text is empty and gives the end id alone.
+    run of the global order.  Null text is empty and gives the end id alone.  A very
+    long text takes memory in proportion to its length; columns other than doc_id and
+    text are ignored.
     """
 
     def encode(batches):
@@ -206,4 +208,4 @@ def read(files: DataFrame) -> DataFrame:
     before = Window.orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1)
     # One row for every 4 million ids.
     bases = docs.groupBy("file_no").agg(F.sum("n_tokens").alias("_n")).select("file_no", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    return docs.join(F.broadcast(bases), "file_no").select("doc_id", (F.col("_base") + F.col("_at")).alias("start"), "n_tokens", "ids_crc32")
+    return docs.join(few(bases), "file_no").select("doc_id", (F.col("_base") + F.col("_at")).alias("start"), "n_tokens", "ids_crc32")

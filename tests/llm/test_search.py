@@ -26,6 +26,50 @@ def test_language(spark, docs, none):
     assert langid.identify(none).count() == 0
 
 
+def _plain_profile(text):
+    """Bound and bundled one trigram after another."""
+    table, letters = langid.letter_table(), [0]
+    for ch in text:
+        low = ch.lower()
+        number = 1 + (ord(low[0]) if len(low) == 1 else ord(ch)) % (langid.LETTERS - 1) if ch.isalpha() else 0
+        if number or letters[-1]:
+            letters.append(number)
+    if letters[-1]:
+        letters.append(0)
+    total = np.zeros(langid.DIMENSIONS)
+    for a, b, c in zip(letters, letters[1:], letters[2:]):
+        total += np.roll(table[a], 2).astype(int) * np.roll(table[b], 1) * table[c]
+    return total / np.linalg.norm(total) if total.any() else None
+
+
+def test_language_equals_plain_bundles(spark):
+    """Profiles, prototypes and cosines against plain sums; ties go to the first name."""
+    r = random.Random(3)
+    words = {"aa": ["the", "of", "Über", "Ærø"], "bb": ["der", "das", "nicht", "ein"], "cc": ["le", "été", "où", "des"]}
+    data = [(i, " ".join(r.choices(words[lang], k=12)) + " 1,2! " * (i % 3), lang) for i, lang in enumerate(r.choices(sorted(words), k=150))]
+    data += [(900, "the der le ß 漢字", "aa"), (901, "x", "bb"), (902, None, "cc"), (903, "12 34", "aa")]
+    for text in (data[0][1], "ab", "A b\n\nc", "ß İ 漢字", "q" * 5000):
+        assert np.abs(langid.Profiles().profile(text) - _plain_profile(text)).max() < 1e-5
+    learned = {}
+    for i, text, lang in data:
+        if zlib.crc32(str(i).encode()) % 4 != 2 and text and (v := _plain_profile(text)) is not None:
+            learned[lang] = learned.get(lang, 0) + v
+    unit = np.stack([learned[x] / np.linalg.norm(learned[x]) for x in sorted(learned)])
+    near = unit - unit.mean(0)
+    near /= np.linalg.norm(near, axis=1, keepdims=True)
+    got = {x.doc_id: x for x in langid.identify(spark.createDataFrame(data, "doc_id long, text string, lang string")).collect()}
+    for i, text, _ in data:
+        v = _plain_profile(text) if text else None
+        if v is None:
+            assert (got[i].lang_pred, got[i].score) == ("und", 0.0)
+            continue
+        score = near @ (v - unit.mean(0)) / np.linalg.norm(v - unit.mean(0))
+        assert got[i].lang_pred == sorted(learned)[int(np.argmax(score))] and abs(got[i].score - min(1.0, max(0.0, score.max()))) < 1e-4
+    one = langid.Profiles().profile("alpha beta gamma")
+    same = spark.createDataFrame([(1, "alpha beta"), (2, "alpha beta")], "doc_id long, text string")
+    assert [x.lang_pred for x in langid.predict(same, ["yy", "zz"], np.stack([one, one]), np.zeros(langid.DIMENSIONS), ["doc_id"]).collect()] == ["yy", "yy"]
+
+
 def test_prediction_ignores_labels(spark):
     r = random.Random(3)
     texts = [(i, " ".join(r.choice(WORDS[lang]) for _ in range(20)), lang, "s") for i, lang in enumerate(r.choice(sorted(WORDS)) for _ in range(200))]

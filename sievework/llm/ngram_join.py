@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, discard, materialize
+from .common import FEW_ROWS, bounded_batches, discard, materialize
 from .shingles import mix, shingles
 
 #: Hash cells in which very frequent shingles are found: a fixed size, whatever the corpus.
@@ -471,11 +471,15 @@ def components(links: DataFrame) -> DataFrame:
     """
     edges = materialize(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = materialize(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("label")), "labels")
+    # Two numbers a node: small tables are broadcast in every round, by their count.
+    sent = F.broadcast if labels.count() <= FEW_ROWS else lambda df: df
     while True:
-        near = edges.join(labels.select("node", "label"), F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("near"))
-        met = labels.select("node", "label").join(near, F.col("node") == F.col("a")).select("node", F.least("label", "near").alias("label"), F.col("label").alias("old"))
+        of = labels.select(F.col("node").alias("b"), "label")
+        near = edges.join(sent(of), "b").select(F.col("a").alias("node"), "label", F.lit(None).cast("long").alias("old"))
+        own = labels.select("node", "label", F.col("label").alias("old"))
+        met = near.unionByName(own).groupBy("node").agg(F.min("label").alias("label"), F.max("old").alias("old"))
         up = labels.select(F.col("node").alias("label"), F.col("label").alias("above"))
-        new = materialize(met.join(up, "label", "left").select("node", F.least("label", "above").alias("label"), "old"), "labels")
+        new = materialize(met.join(sent(up), "label", "left").select("node", F.least("label", "above").alias("label"), "old"), "labels")
         discard(labels)
         labels = new
         if new.where("label <> old").isEmpty():

@@ -89,6 +89,13 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op11_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .runs import digest, periodic_runs, planted
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return digest(periodic_runs(docs, planted(F.col("doc_id"), F.col("text"))))
+
+
 OP4_SQL = r"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
@@ -113,7 +120,8 @@ FROM judged GROUP BY doc_id
 
 def queries() -> dict:
     return {"op1_packing": op1_packing, "op2_sharding": op2_sharding, "op3_fingerprints": op3_fingerprints, "op4_line_dedup": op4_line_dedup,
-            "op5_pseudonyms": op5_pseudonyms, "op6_language": op6_language, "op7_sentencepiece": op7_sentencepiece, "op8_kmeans_tree": op8_kmeans_tree, "op9_wavelet": op9_wavelet, "op10_ngram_join": op10_ngram_join}
+            "op5_pseudonyms": op5_pseudonyms, "op6_language": op6_language, "op7_sentencepiece": op7_sentencepiece, "op8_kmeans_tree": op8_kmeans_tree, "op9_wavelet": op9_wavelet, "op10_ngram_join": op10_ngram_join,
+            "op11_word_runs": op11_word_runs}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -96,6 +96,12 @@ def op11_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(periodic_runs(docs, planted(F.col("doc_id"), F.col("text"))))
 
 
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import scan_licenses
+
+    return scan_licenses(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 OP4_SQL = r"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
@@ -117,12 +123,50 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, count_if(gone)::BIGINT AS n_dropped,
 FROM judged GROUP BY doc_id
 """
 
+#: crc32 has no function there: its table by rule, a step a byte.
+CRC_TABLE = """list_transform(range(256), lambda i: list_reduce(range(8),
+    lambda a, k: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384::BIGINT) ELSE a >> 1 END, i::BIGINT))"""
+OP11_SQL = r"""
+WITH crc AS MATERIALIZED (
+  SELECT CRC_TABLE AS step),
+hashed AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+         xor(list_reduce(list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda j: ascii((doc_id::VARCHAR)[j])::BIGINT),
+                         lambda c, b: xor(c >> 8, step[xor(c & 255, b) + 1]), 4294967295::BIGINT), 4294967295::BIGINT) AS h
+  FROM documents, crc),
+planned AS (SELECT doc_id, w, len(w) AS n, h % 10 = 0 AND len(w) > 0 AS made, (h // 10) % greatest(len(w), 1) AS a, 3 + (h // 10) % 8 AS d FROM hashed),
+words AS MATERIALIZED (
+  SELECT doc_id, n, i, w[1 + CASE WHEN made AND i >= a THEN a + (i - a) % (1 + (n - a) // d) ELSE i END] AS word
+  FROM (SELECT *, unnest(range(n)) AS i FROM planned)),
+same AS (
+  SELECT x.doc_id, y.i - x.i AS q, x.i FROM words x JOIN words y ON x.doc_id = y.doc_id AND x.word = y.word AND y.i > x.i AND 2 * (y.i - x.i) <= x.n),
+islands AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM same),
+stretches AS (SELECT doc_id, q, min(i) AS s, count(*) + q AS m FROM islands GROUP BY doc_id, q, island HAVING count(*) + q >= greatest(12, 2 * q)),
+runs AS MATERIALIZED (SELECT doc_id, s, m, min(q) AS q FROM stretches GROUP BY doc_id, s, m),
+dropped AS (
+  SELECT doc_id, i FROM (
+    SELECT doc_id, i, kind, max(e) OVER (PARTITION BY doc_id ORDER BY i, kind) AS e FROM (
+      SELECT doc_id, s + q AS i, 0 AS kind, s + m AS e FROM runs UNION ALL SELECT doc_id, i, 1, NULL FROM words WHERE doc_id IN (SELECT doc_id FROM runs)))
+  WHERE kind = 1 AND i < e),
+kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS collapsed FROM words WHERE (doc_id, i) NOT IN (SELECT doc_id, i FROM dropped) GROUP BY doc_id),
+listed AS (
+  SELECT doc_id, count(*) AS n_runs, max({'m': m, 's': -s, 'q': -q}) AS best,
+         string_agg(s || ',' || m || ',' || q || chr(10), '' ORDER BY s, q) AS lines
+  FROM runs GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, (-best.s)::BIGINT AS start, best.m::BIGINT AS length, (-best.q)::BIGINT AS period,
+       (1000 * best.m // -best.q)::BIGINT AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(collapsed, '')) AS collapsed_sha256
+FROM documents d LEFT JOIN listed l ON d.doc_id = l.doc_id LEFT JOIN kept k ON d.doc_id = k.doc_id
+""".replace("CRC_TABLE", CRC_TABLE)
+
 
 def queries() -> dict:
     return {"op1_packing": op1_packing, "op2_sharding": op2_sharding, "op3_fingerprints": op3_fingerprints, "op4_line_dedup": op4_line_dedup,
             "op5_pseudonyms": op5_pseudonyms, "op6_language": op6_language, "op7_sentencepiece": op7_sentencepiece, "op8_kmeans_tree": op8_kmeans_tree, "op9_wavelet": op9_wavelet, "op10_ngram_join": op10_ngram_join,
-            "op11_word_runs": op11_word_runs}
+            "op11_word_runs": op11_word_runs, "op12_license_scan": op12_license_scan}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": OP4_SQL}
+    from .licenses import oracle
+
+    return {"op4_line_dedup": OP4_SQL, "op11_word_runs": OP11_SQL, "op12_license_scan": oracle()}

@@ -197,10 +197,13 @@ def planted(doc_id: Column, text: Column) -> Column:
 
 
 def _periodic(g: Column, text: Column) -> Column:
+    def repeat(words: Column) -> Column:  # bound once, not once a word
+        start = F.when(F.size(words) > 0, g % F.size(words))
+        period = 1 + F.floor((F.size(words) - start) / (3 + g % 8))
+        return F.transform(words, lambda w, i: F.when(i < start, w).otherwise(F.get(words, (start + (i - start) % period).cast("int"))))
+
     words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    start = F.when(F.size(words) > 0, g % F.size(words))
-    period = 1 + F.floor((F.size(words) - start) / (3 + g % 8))
-    return F.array_join(F.transform(words, lambda w, i: F.when(i < start, w).otherwise(F.get(words, (start + (i - start) % period).cast("int")))), " ")
+    return F.array_join(F.get(F.transform(F.array(words), repeat), F.lit(0)), " ")
 
 
 def digest(runs: DataFrame) -> DataFrame:

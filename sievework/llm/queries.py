@@ -102,6 +102,12 @@ def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .resampling import resample
+
+    return resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).select("doc_id", "n_features", "weight", "score", "rank")
+
+
 OP4_SQL = r"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
@@ -160,13 +166,42 @@ FROM documents d LEFT JOIN listed l ON d.doc_id = l.doc_id LEFT JOIN kept k ON d
 """.replace("CRC_TABLE", CRC_TABLE)
 
 
+OP13_SQL = r"""
+WITH crc AS MATERIALIZED (SELECT CRC_TABLE AS step),
+texts AS (SELECT true AS own, doc_id, text FROM documents UNION ALL SELECT false, NULL, text FROM benchmark),
+words AS MATERIALIZED (
+  SELECT own, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts),
+grams AS MATERIALIZED (
+  SELECT own, doc_id, f, count(*) AS n FROM (
+    SELECT own, doc_id, unnest(w) AS f FROM words
+    UNION ALL SELECT own, doc_id, unnest(list_transform(range(1, len(w)::BIGINT), lambda i: w[i] || ' ' || w[i + 1])) FROM words
+    UNION ALL SELECT own, doc_id, unnest(list_transform(range(1, len(w)::BIGINT - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) FROM words)
+  GROUP BY own, doc_id, f),
+bytes AS (
+  SELECT f, list_transform(range(1, octet_length(encode(f))::BIGINT + 1), lambda j: ('0x' || substr(hex(encode(f)), 2 * j - 1, 2))::BIGINT) AS b FROM (SELECT DISTINCT f FROM grams)),
+hashed AS MATERIALIZED (
+  SELECT f, xor(list_reduce(b, lambda c, x: xor(c >> 8, step[xor(c & 255, x) + 1]), 4294967295::BIGINT), 4294967295::BIGINT) % 10000 AS bucket FROM bytes, crc),
+counted AS (SELECT bucket, sum(n) FILTER (WHERE own) AS s, sum(n) FILTER (WHERE NOT own) AS t FROM grams JOIN hashed USING (f) GROUP BY bucket),
+full_counts AS (SELECT r.bucket, coalesce(s, 0)::DOUBLE AS s, coalesce(t, 0)::DOUBLE AS t FROM range(10000) r(bucket) LEFT JOIN counted c ON c.bucket = r.bucket),
+sums AS (SELECT sum(s) AS all_s, sum(t) AS all_t FROM full_counts),
+gains AS MATERIALIZED (SELECT bucket, floor(1000 * ln((t + 1) * (all_s + 10000) / ((s + 1) * (all_t + 10000))))::BIGINT AS gain FROM full_counts, sums),
+weights AS (SELECT doc_id, sum(n) AS n_features, sum(n * gain) AS weight FROM grams JOIN hashed USING (f) JOIN gains USING (bucket) WHERE own GROUP BY doc_id),
+scored AS (
+  SELECT w.doc_id, len(w) AS n_words, coalesce(n_features, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+         (coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || w.doc_id), 1, 8))::BIGINT + 0.5) / 4294967296))))::BIGINT AS score
+  FROM words w LEFT JOIN weights x ON w.doc_id = x.doc_id WHERE own),
+ranked AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r, 5 * count(*) OVER () // 100 AS draw FROM scored WHERE n_words >= 20)
+SELECT s.doc_id, n_features, weight, score, CASE WHEN r <= draw THEN r END::BIGINT AS rank FROM scored s LEFT JOIN ranked r ON s.doc_id = r.doc_id
+""".replace("CRC_TABLE", CRC_TABLE)
+
+
 def queries() -> dict:
     return {"op1_packing": op1_packing, "op2_sharding": op2_sharding, "op3_fingerprints": op3_fingerprints, "op4_line_dedup": op4_line_dedup,
             "op5_pseudonyms": op5_pseudonyms, "op6_language": op6_language, "op7_sentencepiece": op7_sentencepiece, "op8_kmeans_tree": op8_kmeans_tree, "op9_wavelet": op9_wavelet, "op10_ngram_join": op10_ngram_join,
-            "op11_word_runs": op11_word_runs, "op12_license_scan": op12_license_scan}
+            "op11_word_runs": op11_word_runs, "op12_license_scan": op12_license_scan, "op13_resampling": op13_resampling}
 
 
 def oracle_sql() -> dict[str, str]:
     from .licenses import oracle
 
-    return {"op4_line_dedup": OP4_SQL, "op11_word_runs": OP11_SQL, "op12_license_scan": oracle()}
+    return {"op4_line_dedup": OP4_SQL, "op11_word_runs": OP11_SQL, "op12_license_scan": oracle(), "op13_resampling": OP13_SQL}

@@ -7,6 +7,7 @@ that need Unicode compatibility forms or full case folding use one Arrow UDF.
 from __future__ import annotations
 
 import json
+import math
 import unicodedata
 from difflib import SequenceMatcher
 
@@ -88,6 +89,44 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y, autojunk=False).ratio() for x, y in zip(a, b)], dtype="float64")
 
 
+def common_subsequence(a: str, b: str, least: int = 0) -> int:
+    """Length of the longest common subsequence, or a number below least if it is below.
+
+    A bit a letter of a, one step a letter of b.  The matching blocks of two texts are
+    a common subsequence, so they never hold more.
+    """
+    where: dict[str, int] = {}
+    for i, c in enumerate(a):
+        where[c] = where.get(c, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    free = full
+    for done, c in enumerate(b):
+        met = free & where.get(c, 0)
+        if met:
+            free = (free + met | free - met) & full
+        if done % 64 == 63 and (most := len(a) - free.bit_count() + len(b) - done - 1) < least:
+            return most
+    return len(a) - free.bit_count()
+
+
+def ratio_from(threshold: float):
+    """A column function: `sequence_ratio` where it reaches the threshold, else null.  The
+    blocks are only looked for where the common subsequence leaves a chance."""
+
+    @F.pandas_udf(T.DoubleType())
+    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+        def one(x, y):
+            least = math.ceil(threshold * (len(x or "") + len(y or "")) / 2 - 1e-9)
+            if x is None or y is None or not x + y or common_subsequence(x, y, least) < least:
+                return None
+            found = SequenceMatcher(None, x, y, autojunk=False).ratio()
+            return found if found >= threshold else None
+
+        return pd.Series([one(x, y) for x, y in zip(a, b)], dtype="float64")
+
+    return ratio
+
+
 def length_bound(a: Column, b: Column) -> Column:
     """No sequence ratio is above this."""
     la, lb = F.length(a), F.length(b)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import joins as J
@@ -9,6 +11,8 @@ from ..operators import ordered as O
 from ..operators import partition as P
 from ..plans import curation as C
 from ..sources import jsonl
+from ..sources.log import judged_lines, numbered_lines
+from ..sources.scratch import folder
 from ..streaming import telemetry as S
 from .common import listed, pick, registry
 from .partition import _DISPOSED
@@ -103,3 +107,19 @@ KEYED = ['{"a": 1, "b": 2}', '{"a": 1}', '{"a": 1, "b": 2, "z": 3}', '{"z": 1}',
 @query(f"""WITH k AS (SELECT event_id, {listed(KEYED, 'event_id')}::JSON AS j FROM events) SELECT event_id, CASE WHEN json_type(j) <> 'OBJECT' THEN ['not_an_object'] ELSE list_sort(list_concat(list_transform(list_filter(json_keys(j), lambda x: x NOT IN ('a', 'b', 'c')), lambda x: 'unknown:' || sha256(x)), list_transform(list_filter(['a', 'b'], lambda x: NOT list_contains(json_keys(j), x)), lambda x: 'missing:' || x))) END AS codes FROM k""")
 def q_closed_keys(t):
     return t.events.select("event_id", jsonl.closed_keys(pick(KEYED, "event_id"), ["a", "b", "c"], ["a", "b"]).alias("codes"))
+
+
+@query("""
+WITH rows AS (SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS line_no, doc_id FROM documents WHERE source IS NOT NULL)
+SELECT source, CASE WHEN doc_id % 17 = 3 THEN 'bad' WHEN doc_id % 23 = 5 THEN 'blank' ELSE 'record' END AS state, count(*) AS lines, min(line_no) AS first_line, max(line_no) AS last_line, sum(line_no)::BIGINT AS number_sum
+FROM rows GROUP BY ALL
+""")
+def q_log_lines(t):
+    """Records written as one log a source, some lines cut or blank, and read again with their numbers."""
+    path = f"{folder(t.spark)}/log-{uuid.uuid4().hex}"
+    record = F.to_json(F.struct("doc_id", "lang", "text"))
+    line = F.when(F.col("doc_id") % 17 == 3, F.expr("substring(_line, 1, length(_line) - 1)")).when(F.col("doc_id") % 23 == 5, F.lit(" ")).otherwise(F.col("_line"))
+    rows = t.documents.where(F.col("source").isNotNull()).withColumn("_line", record).select("source", "doc_id", line.alias("value"))
+    rows.repartition("source").sortWithinPartitions("source", "doc_id").select("source", "value").write.partitionBy("source").text(path)
+    lines = judged_lines(numbered_lines(t.spark, path)).withColumn("source", F.url_decode(F.regexp_extract("path", "source=([^/]*)/", 1)))
+    return lines.groupBy("source", "state").agg(F.count("*").alias("lines"), F.min("line_no").alias("first_line"), F.max("line_no").alias("last_line"), F.sum("line_no").alias("number_sum"))

@@ -8,6 +8,7 @@ from ..functions import text as T
 from ..operators import aggregates as A
 from ..operators import dedup as D
 from ..operators import leakage as K
+from ..operators import similar as V
 from ..operators import partition as P
 from .common import registry
 
@@ -114,11 +115,22 @@ def q_leak_full(t):
     return _leaks(t, True)
 
 
-def _leaks(t, sequence, threshold=0.86):
+@query(None)
+def q_curriculum(t):
+    """Tasks that break a rule: repeated seeds, active payloads, likeness to a held-out text (see `_leaks`)."""
+    tasks = t.documents.select(F.col("doc_id").alias("task_id"), F.when(F.col("doc_id") % 50 == 7, F.lit(7)).otherwise(F.col("doc_id")).alias("seed_id"), "text")
+    return V.curriculum_codes(tasks, _held(t).select(F.col("id").alias("held_id"), "text"), ["<script src=http", "powershell -enc", "curl http", "wget http"]).where(F.size("codes") > 0).select(
+        "task_id", F.array_join("codes", ",").alias("codes"))
+
+
+def _held(t):
     altered = t.documents.where("doc_id % 100 = 0").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), F.expr(
         "substr(text, 1, length(text) * 45 div 100) || ' altered ' || substr(text, CAST(length(text) * 55 div 100 AS INT) + 1)").alias("text"))
-    held = t.benchmark.select(F.col("item_id").cast("string").alias("id"), "text").unionByName(altered)
-    return K.collisions(held, t.documents.select("text"), threshold, sequence)
+    return t.benchmark.select(F.col("item_id").cast("string").alias("id"), "text").unionByName(altered)
+
+
+def _leaks(t, sequence, threshold=0.86):
+    return K.collisions(_held(t), t.documents.select("text"), threshold, sequence)
 
 
 @query(r"""WITH a AS (SELECT source, count_if(lang = 'en') AS en, count(*) AS n FROM documents GROUP BY source) SELECT source, {'lang_shortfall': greatest(40 - en, 0)::BIGINT, 'row_shortfall': greatest(60 - n, 0)::BIGINT} AS deficits FROM a""")

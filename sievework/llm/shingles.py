@@ -1,4 +1,4 @@
-"""Word shingle hashes of a whole text, all at once in numpy.
+"""Word shingle hashes of a whole text: a strong hash a word, shingles in numpy.
 
 A-Z are lower-cased; words are maximal runs without ASCII white space.  A
 shingle is five words in a row; a text with fewer words is one shingle, one
@@ -7,28 +7,24 @@ without words has none.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
+from .common import Memo
+
 WORDS = 5
 _BASE = 0x9E3779B97F4A7C15 | 1
-_FOLD = bytes(0x20 if c in b" \t\n\x0b\f\r" else c + 32 if 65 <= c <= 90 else c for c in range(256))
-_LETTER = np.random.default_rng(20240131).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-_PW = _powers(_BASE, 1 << 12)
-_IPW = _powers(pow(_BASE, -1, 1 << 64), 1 << 12)
+def _hash(word: bytes) -> int:
+    """64 bits of BLAKE2, as a polynomial hash of letters meets itself on repetitive words."""
+    return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
 
 
-def _grow(n: int) -> None:
-    global _PW, _IPW
-    while len(_PW) < n:
-        _PW, _IPW = _powers(_BASE, 2 * len(_PW)), _powers(pow(_BASE, -1, 1 << 64), 2 * len(_IPW))
+#: Hashes of the words met lately, one memory a Python worker.
+_HASHES = Memo(_hash, 32 << 20)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -42,17 +38,8 @@ def word_hashes(text: str | None) -> np.ndarray:
     """A 64-bit hash of each word, in order."""
     if not text:
         return np.empty(0, np.uint64)
-    raw = np.frombuffer(text.encode("utf-8", "surrogatepass").translate(_FOLD), np.uint8)
-    _grow(len(raw) + 1)
-    inside = np.empty(len(raw) + 2, np.int8)
-    inside[0] = inside[-1] = 0
-    inside[1:-1] = raw != 0x20
-    edge = np.flatnonzero(np.diff(inside))
-    start, end = edge[::2], edge[1::2]
-    total = np.empty(len(raw) + 1, np.uint64)
-    total[0] = 0
-    np.cumsum(_LETTER[raw] * _PW[:len(raw)], out=total[1:])
-    return mix((total[end] - total[start]) * _IPW[start] + (end - start).astype(np.uint64))
+    words = text.encode("utf-8", "surrogatepass").translate(_LOWER).split()
+    return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:

@@ -52,6 +52,21 @@ def test_sketches():
     assert resemblance(sketch(""), sketch(None)) == 1.0 and resemblance(sketch("a"), sketch("")) == 0.0
 
 
+def thue_morse(letters):
+    """Two words that a polynomial hash with an odd base cannot tell apart modulo 2^64."""
+    word = ""
+    for i in range(1024):
+        word += letters[bin(i).count("1") % 2]
+    return word, word.translate(str.maketrans(letters, letters[::-1]))
+
+
+def test_repetitive_words_differ(spark):
+    a, b = thue_morse("ab")
+    assert not np.intersect1d(shingles(a), shingles(b)).size and resemblance(sketch(a), sketch(b)) == 0.0
+    got = fingerprint_edits(spark.createDataFrame([(1, a), (2, b)], "doc_id long, text string")).collect()
+    assert all(r.near_next == 0.0 for r in got)
+
+
 def test_fingerprints(docs, none):
     got = fingerprint_edits(docs).collect()
     ordered = sorted(((x[0], x[1] or "") for x in rows()), key=lambda x: (x[0] is not None, x[0] or 0, x[1].encode()))
@@ -133,6 +148,31 @@ def test_secrets_without_digits_and_long_ones(spark):
         assert out[i]._masked == text.replace(secret, out[i].pseudonyms[0].value) and out[i].pseudonyms[0].kind == ("key" if i < 2 else "secret")
 
 
+MASKED = {
+    "Password: Secret123456": "Secret123456", "PASSWORD=hunter2": "hunter2", "API_KEY=abc": "abc", "access_token=zzTop": "zzTop", "secret_key=a1b2": "a1b2", "api-key: 12ab": "12ab",
+    '{"password": "tiger"}': "tiger", "Authorization: Bearer abcdefghijkl": "abcdefghijkl", "use sk-abcdefghijklmnop now": "sk-abcdefghijklmnop", "ghp_abcdefghijklmnopqrstuvwxyz": "ghp_abcdefghijklmnopqrstuvwxyz",
+    "passwd=Tr0ub4dor&3xyz99.": "Tr0ub4dor&3xyz99", "mail josé.garcía@example.com": "josé.garcía", "иван@example.ru": "иван", "DB_PWD = 'qwerty'": "qwerty", "host 10.2.3.4 up": "10.2.3.4",
+}
+KEPT = ["The secret: never give up", "see 1.2.3.4 there", "Section 12.3.4.11 holds", "a token of love", "bearer of news", "the password is long", "version 10.2.3.4"]
+
+
+def test_secrets_in_the_wild(spark):
+    df = spark.createDataFrame(list(enumerate([*MASKED, *KEPT])), "doc_id long, text string")
+    masked = pseudonymize(df, "the key itself")
+    out = {r.doc_id: r for r in masked.select("_row.doc_id", "_row.text", "_masked", "n_found", "pseudonyms").collect()}
+    for i, (text, value) in enumerate(MASKED.items()):
+        new = out[i].pseudonyms[0].value.split("@")[0]
+        assert out[i]._masked == text.replace(value, new) and len(new) == len(value) or value[0] == "1", text
+        assert value not in out[i]._masked and out[i].n_found == 1
+        if not value[0].isdigit():  # nothing of it is left but marks, and letters that happen to stand where they stood
+            assert sum(x == y and x.isalnum() for x, y in zip(value, new)) <= 2 + len(value) // 4, (text, new)
+    for i, text in enumerate(KEPT, len(MASKED)):
+        assert out[i]._masked == text
+    execution = masked._jdf.queryExecution()
+    assert "the key itself" not in execution.toString() and "the key itself" not in execution.simpleString()
+    assert "the key itself" not in execution.logical().toString()
+
+
 def _plain_text(value, key, kind):
     """The text permutation in plain Python."""
     a, b = value[:len(value) // 2], value[len(value) // 2:]

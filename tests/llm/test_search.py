@@ -180,6 +180,13 @@ def test_join(spark, docs, none, monkeypatch, short, tile, hot, part):
     assert ngram_join.near_duplicates(none).count() == 0
 
 
+def test_repetitive_words_do_not_link(spark):
+    a, b = thue_morse("ab")
+    df = spark.createDataFrame([(1, a), (2, b), (3, a)], "doc_id long, text string")
+    assert {(x.doc_id, x.n_shingles, x.component_id) for x in ngram_join.near_duplicates(df).collect()} == {(1, 1, 1), (2, 1, 2), (3, 1, 1)}
+    assert {x.doc_id for x in ngram_join.representatives(df).collect()} == {1, 2}
+
+
 def _groups(texts):
     """A number for each text with words, the same within a component; None without words."""
     words = [(t or "").split() for t in texts]

@@ -22,19 +22,40 @@ WALK = 40
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 #: kind -> Java pattern, in the order in which they are tried at a place.  The value of
 #: a secret is the first numbered group; the separators of others are named ones.
+_VALUE = r"[^\s\"'<>]"
+#: What a secret's value may end with: no mark of the sentence around it.
+_LAST = r"[^\s\"'<>,;.:!?()\[\]{}]"
+_NAME = r"(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|secret[_-]?key|private[_-]?key)"
+_SIGN = r"[\"']?[ \t]{0,2}[=:][ \t]{0,2}[\"']?"
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}",
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}][\p{L}\p{N}._%+-]*+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}",
     "key": r"(?<![A-Za-z0-9])A(?:KIA|SIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
-    "secret": r"(?<=\b(?:password|passwd|secret|token|api_key)(?: ?[=:] ?\"?))([^\s\"'<>(),;&]{7,}[A-Za-z0-9])",
+    # The short look-behind spares most places the long one.
+    "secret": rf"(?:(?<=[=:][ \t]{{0,2}}[\"']?)(?<={_NAME}{_SIGN})(?:(?<==[ \t]{{0,2}}[\"']?)|(?<=[\"'])|(?={_VALUE}{{8}}|{_VALUE}*[^\s\"'<>A-Za-z,;.:!?()\[\]{{}}]))"
+              rf"|(?<=(?i:bearer)[ \t]{{1,2}})(?=[A-Za-z0-9._~+/=-]{{8}})|(?<![A-Za-z0-9_-])(?=sk-[A-Za-z0-9_-]{{12}}|gh[pousr]_[A-Za-z0-9]{{20}}|xox[abp]-[A-Za-z0-9-]{{10}}))({_VALUE}*{_LAST})",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "ip": rf"(?<![\w.])(?<!(?:[Vv]ersion|[Vv]er|[Rr]elease|[Bb]uild)[ .:=]{{0,2}})(?:{_OCTET}\.){{3}}{_OCTET}(?!\w|\.\w)",
+    "ip": rf"(?<![\w.])(?<!(?:[Vv]ersion|[Vv]er|[Rr]elease|[Bb]uild)[ .:=]{{0,2}})(?<!(?:[Ss]ection|[Ss]ec\.|[Cc]hapter|[Ff]igure|[Ff]ig\.|[Tt]able|[Cc]lause|§) {{0,2}})(?!\d(?:\.\d){{3}}(?!\d))(?:{_OCTET}\.){{3}}{_OCTET}(?!\w|\.\w)",
     "date": r"(?<![\w.-])(?:(?:19|20)\d\d-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])(?<dot>[./])(?:0[1-9]|[12]\d|3[01])\k<dot>(?:19|20)\d\d)(?![\w-])",
     "card": r"(?<![\w-])(?:\d{4}(?<four>[ -]?)\d{4}\k<four>\d{4}\k<four>\d{1,7}|3[47]\d\d(?<six>[ -]?)\d{6}\k<six>\d{5})(?![\w-])",
     "ssn": r"(?<![\w-])(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}(?![\w-])",
     "phone": r"(?<![\w+(])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\w)|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\w)|(?<![\w.-])[2-9]\d\d(?<gap>[-. ])[2-9]\d\d\k<gap>\d{4}(?![\w-])",
 }
 #: No text without these holds any of them.
-_MAY_HOLD = "[0-9@=:]|AKIA|ASIA"
+_MAY_HOLD = r"[0-9@=:]|A[KS]IA|[Bb][Ee][Aa][Rr][Ee][Rr][ \t]|sk-|gh[pousr]_|xox[abp]-"
+#: Letters beyond ASCII that move within their class; others stay.
+_ALPHABETS = [
+    "".join(chr(c) for c in range(0xE0, 0x100) if c != 0xF7), "".join(chr(c) for c in range(0xC0, 0xDF) if c != 0xD7),
+    "".join(chr(c) for c in range(0x3B1, 0x3CA) if c != 0x3C2), "".join(chr(c) for c in range(0x391, 0x3AA) if c != 0x3A2),
+    "".join(map(chr, range(0x430, 0x450))), "".join(map(chr, range(0x410, 0x430))),
+]
+
+
+#: What is laid anew into a format, and what stays of it.
+_LETTER, _MARK = r"[\p{L}\p{N}]", r"[^\p{L}\p{N}]"
+
+
+class Held(str):
+    """The name of a column that holds a key, so that the key itself is in no plan."""
 
 
 def _q(text: str) -> str:
@@ -53,7 +74,7 @@ def _digits(value: str) -> str:
 
 
 def _hash(key: str, turn: str, other: str, kind: str) -> str:
-    return f"sha2(concat_ws('|', {_q(key)}, {_q(kind)}, {turn}, {other}), 256)"
+    return f"sha2(concat_ws('|', {key if isinstance(key, Held) else _q(key)}, {_q(kind)}, {turn}, {other}), 256)"
 
 
 def _number_of(hash_sql: str) -> str:
@@ -62,9 +83,11 @@ def _number_of(hash_sql: str) -> str:
 
 def permuted_text(value: str, key: str, kind: str) -> str:
     """SQL: letters and digits of value, each within its class."""
+    beyond = " ".join(f"WHEN locate(c.x, {_q(a)}) > 0 THEN substr({_q(a)}, (locate(c.x, {_q(a)}) - 1 + c.k) % {len(a)} + 1, 1)" for a in _ALPHABETS)
     shift = (
         "CASE WHEN c.x BETWEEN '0' AND '9' THEN chr(48 + (ascii(c.x) - 48 + c.k) % 10) WHEN c.x BETWEEN 'a' AND 'z' THEN chr(97 + (ascii(c.x) - 97 + c.k) % 26) "
-        "WHEN c.x BETWEEN 'A' AND 'Z' THEN chr(65 + (ascii(c.x) - 65 + c.k) % 26) ELSE c.x END")
+        "WHEN c.x BETWEEN 'A' AND 'Z' THEN chr(65 + (ascii(c.x) - 65 + c.k) % 26) "
+        f"WHEN c.x < chr(128) THEN c.x {beyond} ELSE c.x END")
     moved = (f"array_join(transform(transform(sequence(1, greatest(1, length(s.a))), j -> named_struct('x', substr(s.a, j, 1), 'k', "
              f"CAST(conv(substr({_hash(key, 'i', 's.b', kind)}, 4 * ((j - 1) % 16) + 1, 4), 16, 10) AS INT))), c -> {shift}), '')")
     half = f"length({value}) div 2"
@@ -82,8 +105,8 @@ def permuted_number(value: str, a: int, b: int, key: str, kind: str) -> str:
 
 def _laid(template: str, new: str) -> str:
     """SQL: the letters and digits of template replaced, in order, by the characters of new."""
-    return (f"array_join(transform(sequence(1, length({template})), p -> IF(substr({template}, p, 1) RLIKE '[A-Za-z0-9]', "
-            f"substr({new}, length(regexp_replace(substr({template}, 1, p), '[^A-Za-z0-9]', '')), 1), substr({template}, p, 1))), '')")
+    return (f"array_join(transform(sequence(1, length({template})), p -> IF(substr({template}, p, 1) RLIKE {_q(_LETTER)}, "
+            f"substr({new}, length(regexp_replace(substr({template}, 1, p), {_q(_MARK)}, '')), 1), substr({template}, p, 1))), '')")
 
 
 def _let(value: str, name: str, body: str) -> str:
@@ -104,7 +127,7 @@ def _mod97(text: str) -> str:
 
 def _replacements(key: str) -> dict[str, str]:
     """kind -> SQL of m's pseudonym; null: m is not valid, so it stays."""
-    email = f"concat({_let(_q('') + ' || split(m, ' + _q('@') + ')[0]', 'u', _laid('u', _let('regexp_replace(u, ' + _q('[^A-Za-z0-9]') + ', ' + _q('') + ')', 'w', permuted_text('w', key, 'email'))))}, '@', split(m, '@')[1])"
+    email = f"concat({_let(_q('') + ' || split(m, ' + _q('@') + ')[0]', 'u', _laid('u', _let('regexp_replace(u, ' + _q(_MARK) + ', ' + _q('') + ')', 'w', permuted_text('w', key, 'email'))))}, '@', split(m, '@')[1])"
     card = _let(_digits("m"), "d", f"CASE WHEN length(d) BETWEEN 13 AND 19 AND {_luhn_sum('d', 0)} % 10 = 0 THEN " + _let(
         f"concat(substr(d, 1, 1), {_let('substr(d, 2, length(d) - 2)', 'w', permuted_text('w', key, 'card'))})", "n",
         _let(f"concat(n, CAST((10 - {_luhn_sum('n', 1)} % 10) % 10 AS STRING))", "z", _laid("m", "z"))) + " END")
@@ -150,17 +173,24 @@ def pseudonymize(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
 
     Null stays null, with none found; a text without personal data stays as it
     is.  What fails validation (check digits, calendar) stays too, but what stands
-    behind a secret's name is masked whatever it looks like.  Repeated rows
-    are masked alike; an empty table gives no rows; very long texts take time in
-    proportion to their length.  Keep key secret: it links and would unlock.
+    behind a secret's name (in any case, also as the end of a longer name or in
+    quotes), after "bearer" or with a token's prefix is masked whatever it looks like,
+    to its end; behind a colon, words of less than eight plain letters are prose and
+    stay.  Four single digits are a section, no address.  Letters of Latin, Greek and
+    Cyrillic move, those of other scripts stay.  Repeated rows are masked alike; an
+    empty table gives no rows; very long texts take time in proportion to their
+    length; columns of any name come back in `_row`.  Keep key secret: it links and
+    would unlock.  It reaches the tasks as the value of a subquery, so plans, the UI
+    and event logs don't show it.
     """
     if not key:
         raise ValueError("a key is needed")
     every = "|".join(f"(?:{p})" for p in PATTERNS.values())
-    new = _replacements(key)
+    held = docs.sparkSession.createDataFrame([(key,)], "key string").scalar()
+    new = _replacements(Held("_key"))
     kind = "CASE WHEN named <> '' THEN 'secret' " + " ".join(f"WHEN {_whole('m', k)} THEN {_q(k)}" for k in ["email", "key", "iban", "ip", "date", "card", "ssn", "phone"]) + " ELSE 'secret' END"
     value = "CASE k " + " ".join(f"WHEN {_q(k)} THEN {sql}" for k, sql in new.items()) + " END"
-    row = docs.select(F.struct("*").alias("_row")).withColumn("_t", F.col(f"_row.`{text}`").cast("string"))
+    row = docs.select(F.struct("*").alias("_row")).withColumn("_t", F.col(f"_row.`{text}`").cast("string")).withColumn("_key", held)
     found = row.withColumn("_found", F.expr(f"CASE WHEN _t RLIKE {_q(_MAY_HOLD)} THEN regexp_extract_all(_t, {_q(every)}, 0) END"))
     named = found.withColumn("_new", F.expr(
         f"transform(zip_with(_found, regexp_extract_all(_t, {_q(every)}, 1), (m, named) -> named_struct('m', m, 'k', {kind})), e -> named_struct('m', e.m, 'k', e.k, 'v', {_let('e.m', 'm', _let('e.k', 'k', value))}))"))

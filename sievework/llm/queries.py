@@ -18,9 +18,10 @@ def tokenizer_path(name: str) -> str:
 
 
 def pseudonym_key(spark: SparkSession) -> str:
-    """The session's spark.sievework.pseudonym.key.  Without one the registered queries
-    use a public key, so that their results can be compared: no protection at all."""
-    return spark.conf.get("spark.sievework.pseudonym.key", None) or "public key of the registered queries"
+    """The session's spark.sievework.pseudonym.secret, which Spark redacts by its name, or
+    spark.sievework.pseudonym.key.  Without one the registered queries use a public key,
+    so that their results can be compared: no protection at all."""
+    return spark.conf.get("spark.sievework.pseudonym.secret", None) or spark.conf.get("spark.sievework.pseudonym.key", None) or "public key of the registered queries"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import number_rows
+from .common import few, number_rows
 
 
 def shard(docs: DataFrame, shards: int = 24, seed: str = "interleave", strata: str = "source") -> DataFrame:
@@ -32,7 +32,7 @@ def shard(docs: DataFrame, shards: int = 24, seed: str = "interleave", strata: s
         F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit("null")))).alias("_order"))
     ranked = number_rows(slim, ["source", "_order", "doc_id", "text_crc32"], "by-source").withColumnRenamed("row_no", "_row")
     sources = ranked.groupBy(F.col("source").alias("_s")).agg(F.min("_row").alias("_first"), F.count("*").alias("_n"))
-    placed = ranked.join(sources, F.col("source").eqNullSafe(F.col("_s"))).withColumn(
+    placed = ranked.join(few(sources), F.col("source").eqNullSafe(F.col("_s"))).withColumn(
         "_fraction", (F.col("_row") - F.col("_first") + 0.5) / F.col("_n")).drop("_s", "_first", "_n", "_order")
     dealt = number_rows(placed, ["_fraction", "source", "_row"], "by-fraction")
     total = dealt.count()

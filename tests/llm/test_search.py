@@ -7,9 +7,11 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from sievework.llm import ann, langid, ngram_join
 
 from .conftest import WORDS, rows
+from .test_documents import thue_morse
 
 
 def test_language(spark, docs, none):
@@ -252,5 +254,8 @@ def test_pipeline(spark, docs, none, tmp_path):
             assert len(kept) == len(set(kept))
         assert all(x.n_chars == len(x.text) for x in current.collect() if x.text is not None)
     assert corpus_pipeline.STAGES[-1][1](spark, current, "").count() > 0
+    unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))  # no language to learn: only letters count
+    kept = Counter(x.text for x in corpus_pipeline.language_id(spark, unlabelled, "").collect())
+    assert kept == Counter(x[1] for x in rows() if x[1] and any(c.isalpha() for c in x[1]))
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, none, "").count() == 0

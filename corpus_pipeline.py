@@ -26,16 +26,22 @@ def _with_text(df: DataFrame, columns: list[str], text: str) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a learned language stay; those without letters, or like none, go."""
+    """Documents in a learned language stay; those without letters, or like none, go.
+
+    Null and empty texts have no letters.  With no labelled row there is no language to
+    be unlike, so only documents without letters go.  Whole texts are judged, repeated
+    rows alike; an empty table stays empty.
+    """
     model = learn(train_rows(docs))
     if not model[0]:
-        return docs
+        return docs.where(F.col("text").cast("string").rlike(r"\p{L}"))
     judged = predict(docs.select(F.struct("*").alias("_row")), *model, ["_row"])
     return judged.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select("_row.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that an earlier document holds go; every document stays, if only with an empty text."""
+    """Lines that an earlier document holds go; every document stays, if only with an empty
+    text, as one of null text does.  Rows of one doc_id are one document, null last."""
     return _with_text(dedup_lines(docs), docs.columns, "_kept")
 
 
@@ -48,7 +54,8 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Validated personal data give way to pseudonyms of their format."""
+    """Validated personal data give way to pseudonyms of their format; null texts stay null,
+    repeated rows are masked alike."""
     return _with_text(pseudonymize(docs, pseudonym_key(spark)), docs.columns, "_masked")
 
 

@@ -61,6 +61,18 @@ class Memo(dict):
             self[key] = value
         return value
 
+    def released_after(self, run: Callable) -> Callable:
+        """run, a function of batches, which leaves nothing in this memory to the worker's next task."""
+
+        def out(batches):
+            try:
+                yield from run(batches)
+            finally:
+                self.clear()
+                self.old = {}
+
+        return out
+
 
 def materialize(df: DataFrame, name: str, options: dict[str, str] | None = None) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back.  This cuts

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import FEW_ROWS, bounded_batches, discard, materialize
-from .shingles import mix, shingles
+from .shingles import forgetful, mix, shingles
 
 #: Hash cells in which very frequent shingles are found: a fixed size, whatever the corpus.
 CELLS = 1 << 20
@@ -127,7 +127,7 @@ def _describe(docs: DataFrame) -> DataFrame:
         yield pa.RecordBatch.from_arrays([*(pa.nulls(_CELL_BLOCKS, k) for k in kinds[:5]), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds[5:]))], names)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64(F.col("text").cast("string"))).mapInArrow(
-        run, "doc_id long, text_hash long, node long, n long, bits binary, block int, width int, cells binary, counts binary")
+        forgetful(run), "doc_id long, text_hash long, node long, n long, bits binary, block int, width int, cells binary, counts binary")
 
 
 def _cell_counts(described: DataFrame) -> np.ndarray:
@@ -242,7 +242,7 @@ def _postings(docs: DataFrame, counts: np.ndarray, parts: int) -> DataFrame:
         if held:
             yield deal(held)
 
-    return docs.select(F.col("text").cast("string")).mapInArrow(run, _DEALT_FIELDS)
+    return docs.select(F.col("text").cast("string")).mapInArrow(forgetful(run), _DEALT_FIELDS)
 
 
 def _counted(postings: DataFrame, parts: int) -> DataFrame:
@@ -434,7 +434,7 @@ def _gather(docs: DataFrame, described: DataFrame, ends: DataFrame) -> DataFrame
             yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(own_text, pa.string()), pa.array(bits, pa.binary())], ["node", "text", "bits"])
 
     text = F.col("text").cast("string")
-    return materialize(docs.select(text, F.xxhash64(text)).mapInArrow(texts, "node long, text string, bits binary").dropDuplicates(["node"]), "texts")
+    return materialize(docs.select(text, F.xxhash64(text)).mapInArrow(forgetful(texts), "node long, text string, bits binary").dropDuplicates(["node"]), "texts")
 
 
 def _verify(texts: DataFrame, pairs: DataFrame, t: Fraction, name: str) -> DataFrame:
@@ -460,7 +460,7 @@ def _verify(texts: DataFrame, pairs: DataFrame, t: Fraction, name: str) -> DataF
     few = texts.select("node", "text").mapInArrow(needed, "node long, text string")
     joined = pairs.join(few.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(
         few.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
-    return materialize(joined.select("a", "b", "ta", "tb").mapInArrow(intersect, "a long, b long"), name)
+    return materialize(joined.select("a", "b", "ta", "tb").mapInArrow(forgetful(intersect), "a long, b long"), name)
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -24,7 +24,16 @@ def _hash(word: bytes) -> int:
 
 
 #: Hashes of the words met lately, one memory a Python worker.
-_HASHES = Memo(_hash, 32 << 20)
+_HASHES = Memo(_hash, 16 << 20)
+
+
+def forgetful(run):
+    """run, a function of batches that uses shingles, which frees their memory with its task."""
+
+    def out(batches):
+        return _HASHES.released_after(run)(batches)
+
+    return out
 
 
 def mix(x: np.ndarray) -> np.ndarray:

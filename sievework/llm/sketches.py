@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches
-from .shingles import shingles
+from .shingles import forgetful, shingles
 
 K = 128
 _BYTES = 6
@@ -125,4 +125,4 @@ def fingerprint_edits(docs: DataFrame, k: int = K) -> DataFrame:
 
     dealt = docs.mapInArrow(deal, "run int, tail boolean, doc_id long, text string")
     return dealt.repartition("run").sortWithinPartitions("run", "tail", F.col("doc_id").asc_nulls_first(), "text").mapInArrow(
-        edit, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+        forgetful(edit), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

@@ -21,9 +21,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, few, materialize
+from .common import MEMO_BYTES, bounded_batches, few, materialize
 from .tokens import encoder
 
+#: Bytes of a worker's memory of words; packing mostly follows other stages in the same workers.
+MEMORY = MEMO_BYTES // 2
 _FIELDS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, _pid int, _local long"
 
 
@@ -53,7 +55,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, longest: int = 2048,
         raise ValueError("longest must be a power of two")
 
     def cut(batches):
-        enc, pid, used = encoder(tokenizer_path), TaskContext.get().partitionId(), {}
+        enc, pid, used = encoder(tokenizer_path, MEMORY), TaskContext.get().partitionId(), {}
         for batch in batches:
             rows, tokens = [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):

@@ -14,7 +14,7 @@ import functools
 
 import numpy as np
 
-from .common import Memo
+from .common import MEMO_BYTES, Memo
 
 _MARKS = ".,;:!?$%&*#"
 
@@ -41,7 +41,7 @@ class _Odd(Exception):
 class Encoder:
     """Ids of texts under a tokenizers file, with add_special_tokens=False."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, budget: int = MEMO_BYTES):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -53,7 +53,7 @@ class Encoder:
         self.drops_space = ids("a b") == ids("a") + ids("b")
         self.folds = ids("AB") == ids("ab")
         #: word -> bytes of its ids (native unsigned ints of the encoder's width).
-        self.memory = Memo(self.miss)
+        self.memory = Memo(self.miss, budget)
         #: Runs of marks are few.
         self.marks = Memo(self.whole, 1 << 20)
         self.newline = b"" if self.drops_space else self.whole("\n")
@@ -117,6 +117,6 @@ class Encoder:
 
 
 @functools.lru_cache(maxsize=4)
-def encoder(path: str) -> Encoder:
-    """One for each Python worker and file."""
-    return Encoder(path)
+def encoder(path: str, budget: int = MEMO_BYTES) -> Encoder:
+    """One for each Python worker, file and size of its memory."""
+    return Encoder(path, budget)

@@ -25,25 +25,30 @@ def _share(part: Column) -> Column:
 
 def checks(least_rows: int = 20, most_chars: int = 20_000, least_chars: int = 1, labelled: float = 0.3, one_sided: float = 0.98, mean_low: float = 50) -> dict[str, Check]:
     """The checks of an expert's training rows."""
-    text, label = F.col("text"), F.col("label")
-    zero = lambda when: (lambda: F.count_if(when).cast("double"), "<=", 0.0)
-    known = F.count("label")
+
+    def zero(when: Callable[[Column], Column], of: str = "text") -> Check:
+        return lambda: F.count_if(when(F.col(of))).cast("double"), "<=", 0.0
+
+    def one_side() -> Column:
+        label, known = F.col("label"), F.count("label")
+        return F.when(known > 0, F.greatest(F.count_if(label == 1), F.count_if(label == 0)) / known).otherwise(F.lit(0.0))
+
     return {
         "rows_low": (lambda: F.count("*").cast("double"), ">=", float(least_rows)),
-        "id_missing": zero(F.col("id").isNull()),
+        "id_missing": zero(lambda x: x.isNull(), "id"),
         "id_repeated": (lambda: (F.count("id") - F.count_distinct("id")).cast("double"), "<=", 0.0),
-        "text_missing": zero(text.isNull()),
-        "text_short": zero(F.length(F.trim(text)) < least_chars),
-        "text_long": zero(F.length(text) > most_chars),
+        "text_missing": zero(lambda x: x.isNull()),
+        "text_short": zero(lambda x: F.length(F.trim(x)) < least_chars),
+        "text_long": zero(lambda x: F.length(x) > most_chars),
         "text_repeated": (lambda: (F.count("text") - F.count_distinct(F.sha2("text", 256))).cast("double"), "<=", 0.0),
-        "secret_material": zero(has_secret(text)),
-        "active_payload": zero(has_active_payload(text)),
-        "control_text": zero(text.rlike(r"[\x00-\x08]")),
-        "source_missing": zero(F.col("source").isNull()),
-        "label_unknown": zero(~label.isin(0, 1)),
-        "labelled_low": (lambda: _share(known.cast("double")), ">=", labelled),
-        "label_one_sided_share": (lambda: F.when(known > 0, F.greatest(F.count_if(label == 1), F.count_if(label == 0)) / known).otherwise(F.lit(0.0)), "<=", one_sided),
-        "mean_chars_low": (lambda: F.coalesce(F.avg(F.length(text)), F.lit(0.0)), ">=", float(mean_low)),
+        "secret_material": zero(has_secret),
+        "active_payload": zero(has_active_payload),
+        "control_text": zero(lambda x: x.rlike(r"[\x00-\x08]")),
+        "source_missing": zero(lambda x: x.isNull(), "source"),
+        "label_unknown": zero(lambda x: ~x.isin(0, 1), "label"),
+        "labelled_low": (lambda: _share(F.count("label").cast("double")), ">=", labelled),
+        "label_one_sided_share": (one_side, "<=", one_sided),
+        "mean_chars_low": (lambda: F.coalesce(F.avg(F.length("text")), F.lit(0.0)), ">=", float(mean_low)),
     }
 
 

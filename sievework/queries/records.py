@@ -258,11 +258,11 @@ def q_lower_bound_usage(t):
     return V.lower_bound(usage, "tokens", F.lit(200)).select("event_type", "tokens", "tokens_unknown_rows", "tokens_exact")
 
 
-@query(r"""WITH c AS (SELECT item_id, 'anchor-heldout-x:' || CASE WHEN item_id % 9 = 0 THEN 0 ELSE item_id END AS case_id, text, item_id % 2 = 0 AS malicious, CASE WHEN item_id % 5 = 0 THEN 'PASS' WHEN item_id % 2 = 0 THEN 'BLOCK' WHEN item_id % 7 = 0 THEN 'MAYBE' ELSE 'PASS' END AS expected FROM benchmark)
+@query(r"""WITH c AS (SELECT item_id, 'heldout:' || CASE WHEN item_id % 9 = 0 THEN 0 ELSE item_id END AS case_id, text, item_id % 2 = 0 AS malicious, CASE WHEN item_id % 5 = 0 THEN 'PASS' WHEN item_id % 2 = 0 THEN 'BLOCK' WHEN item_id % 7 = 0 THEN 'MAYBE' ELSE 'PASS' END AS expected FROM benchmark)
 SELECT item_id, CASE WHEN count(*) OVER (PARTITION BY case_id) > 1 THEN 'repeated_id' WHEN count(*) OVER (PARTITION BY lower(trim(regexp_replace(text, '\s+', ' ', 'g')))) > 1 THEN 'repeated_requirement' WHEN expected NOT IN ('PASS', 'BLOCK') THEN 'expected_decision' WHEN (expected = 'BLOCK') <> malicious THEN 'label_disagrees' END AS violation FROM c""")
 def q_heldout_cases(t):
     i = F.col("item_id")
-    cases = t.benchmark.select("item_id", F.concat(F.lit("anchor-heldout-x:"), F.when(i % 9 == 0, 0).otherwise(i).cast("string")).alias("case_id"), F.col("text").alias("requirement"), (i % 2 == 0).alias("malicious"),
+    cases = t.benchmark.select("item_id", F.concat(F.lit("heldout:"), F.when(i % 9 == 0, 0).otherwise(i).cast("string")).alias("case_id"), F.col("text").alias("requirement"), (i % 2 == 0).alias("malicious"),
                                F.when(i % 5 == 0, "PASS").when(i % 2 == 0, "BLOCK").when(i % 7 == 0, "MAYBE").otherwise("PASS").alias("expected"))
     return V.heldout_violations(cases, "case_id", "requirement", "expected", "malicious").select("item_id", "violation")
 

@@ -196,6 +196,24 @@ SELECT s.doc_id, n_features, weight, score, CASE WHEN r <= draw THEN r END::BIGI
 """.replace("CRC_TABLE", CRC_TABLE)
 
 
+#: Seeded ranks within a source and the order of their fractions; a CRC step a byte of each text.
+OP2_SQL = r"""
+WITH crc AS MATERIALIZED (SELECT CRC_TABLE AS step),
+bytes AS (SELECT DISTINCT text, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: ('0x' || h)::BIGINT) AS b FROM documents WHERE text <> ''),
+hashed AS MATERIALIZED (SELECT text, xor(list_reduce(b, lambda c, x: xor(c >> 8, step[xor(c & 255, x) + 1]), 4294967295::BIGINT), 4294967295::BIGINT) AS crc FROM bytes, crc),
+slim AS (
+  SELECT doc_id, coalesce(octet_length(encode(d.text)), 0) + 8 AS size, coalesce(crc, 0) AS text_crc32, source, md5('interleave:' || coalesce(doc_id::VARCHAR, 'null')) AS o
+  FROM documents d LEFT JOIN hashed h ON d.text = h.text),
+placed AS (
+  SELECT *, (row_number() OVER w - 0.5::DOUBLE) / count(*) OVER (PARTITION BY source) AS fraction, row_number() OVER w AS r FROM slim
+  WINDOW w AS (PARTITION BY source ORDER BY o, doc_id NULLS FIRST, text_crc32)),
+dealt AS (SELECT *, row_number() OVER (ORDER BY fraction, source NULLS FIRST, r) - 1 AS pos, count(*) OVER () AS total FROM placed)
+SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, source, 'rows' AS law, (pos * 24 // total)::INT AS shard,
+       (pos - ((pos * 24 // total) * total + 23) // 24)::BIGINT AS slot, NULL::INT AS grown_shard
+FROM dealt
+""".replace("CRC_TABLE", CRC_TABLE)
+
+
 def queries() -> dict:
     return {"op1_packing": op1_packing, "op2_sharding": op2_sharding, "op3_fingerprints": op3_fingerprints, "op4_line_dedup": op4_line_dedup,
             "op5_pseudonyms": op5_pseudonyms, "op6_language": op6_language, "op7_sentencepiece": op7_sentencepiece, "op8_kmeans_tree": op8_kmeans_tree, "op9_wavelet": op9_wavelet, "op10_ngram_join": op10_ngram_join,
@@ -205,4 +223,4 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     from .licenses import oracle
 
-    return {"op4_line_dedup": OP4_SQL, "op11_word_runs": OP11_SQL, "op12_license_scan": oracle(), "op13_resampling": OP13_SQL}
+    return {"op2_sharding": OP2_SQL, "op4_line_dedup": OP4_SQL, "op11_word_runs": OP11_SQL, "op12_license_scan": oracle(), "op13_resampling": OP13_SQL}

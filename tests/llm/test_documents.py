@@ -8,9 +8,11 @@ import string
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from sievework.llm import queries as Q
 from sievework.llm.line_dedup import dedup_lines, keep_bitmaps
 from sievework.llm.pii import pseudonymize
 from sievework.llm.sharding import shard
@@ -260,3 +262,12 @@ def test_feistel_is_a_permutation(spark):
     texts = spark.range(0, 1000).select(F.expr("lpad(CAST(id AS STRING), 3, '0')").alias("w")).select(F.expr(permuted_text("w", "k", "t")).alias("v")).collect()
     assert sorted(r.v for r in texts) == [f"{i:03}" for i in range(1000)]
     assert np.mean([r.v == f"{i:03}" for i, r in enumerate(texts)]) < 0.02
+
+
+def test_shard_sql(spark):
+    con = duckdb.connect()
+    con.execute("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.001/documents.parquet'")
+    got = Q.queries()["op2_sharding"](spark, "/root/testdata/sf0.001").collect()
+    cur = con.execute(Q.oracle_sql()["op2_sharding"])
+    names = [d[0] for d in cur.description]
+    assert got and Counter(tuple(r[c] for c in names) for r in got) == Counter(cur.fetchall())

@@ -99,26 +99,31 @@ def axis_value(tags: Column, axis: str) -> Column:
     return F.when(F.size(own) == 1, F.substr(own[0], F.lit(len(axis) + 2)))
 
 
-def mutated(html: Column) -> tuple[Column, Column, Column]:
-    """(rule, html, changes) of the first accessibility mutation that applies; null rule: none.
-
-    A literal aria-label goes; else the first main becomes a div; else the first
-    h1.  An opening tag whose closing tag is missing makes the row unavailable.
-    """
-    def tag(name: str) -> tuple[Column, Column, Column]:
+def mutations(html: Column) -> dict[str, tuple[Column, Column, int]]:
+    """Of each accessibility mutation, in order: whether its opening is there, the html
+    after it (null if its closing tag is missing), and its changes."""
+    def tag(name: str) -> tuple[Column, Column, int]:
         opens = html.rlike(rf"(?i)<{name}(?=[\s>])")
         opened = F.regexp_replace(html, rf"(?is)^(.*?)<{name}(?=[\s>])(.*)$", "$1<div$2")
         closed = F.regexp_replace(opened, rf"(?is)^(.*?)</{name}\s*>(.*)$", "$1</div>$2")
-        return opens, opened.rlike(rf"(?i)</{name}\s*>"), closed
+        return opens, F.when(opens & opened.rlike(rf"(?i)</{name}\s*>"), closed), 2
 
     has_aria = html.rlike(f"(?i){ARIA}")
     no_aria = F.regexp_replace(html, rf"(?is)^(.*?)\s+aria-label\s*=\s*([\"'])[^\"']+\2(.*)$", "$1$3")
-    m_open, m_close, m = tag("main")
-    h_open, h_close, h = tag("h1")
-    rule = (F.when(has_aria, F.lit("remove_literal_aria_label")).when(m_open, F.when(m_close, F.lit("semantic_main_to_div")))
-            .when(h_open, F.when(h_close, F.lit("semantic_h1_to_div"))))
-    text = F.when(rule == "remove_literal_aria_label", no_aria).when(rule == "semantic_main_to_div", m).when(rule == "semantic_h1_to_div", h)
-    return rule, text, F.when(rule == "remove_literal_aria_label", 1).when(rule.isNotNull(), 2)
+    return {"remove_literal_aria_label": (has_aria, F.when(has_aria, no_aria), 1), "semantic_main_to_div": tag("main"), "semantic_h1_to_div": tag("h1")}
+
+
+def mutated(html: Column) -> tuple[Column, Column, Column]:
+    """(rule, html, changes) of the first accessibility mutation that applies; null rule: none.
+
+    A literal aria-label goes; else the first main becomes a div; else the first
+    h1.  An opening tag whose closing tag is missing makes the row unavailable.
+    """
+    rule = text = changes = F.lit(None)
+    for name, (opens, after, n) in reversed(mutations(html).items()):
+        rule, text = F.when(opens, F.when(after.isNotNull(), F.lit(name))).otherwise(rule), F.when(opens, after).otherwise(text)
+        changes = F.when(opens, F.when(after.isNotNull(), F.lit(n))).otherwise(changes)
+    return rule, text, changes
 
 
 def marker_removed(text: Column, marker: str) -> Column:

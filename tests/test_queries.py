@@ -44,6 +44,7 @@ BRANCHES = {
     "q_seed_violation": ("violation", {None, "empty_request", "empty_card", "seed_index", "card_without_index", "empty_template", "empty_source_kind", "template_without_kind", "template_without_card", "source_kind", "synthetic_digest", "external_digest", "legacy_digest"}),
     "q_retry_metadata": ("violation", {None, "generation", "retry_of", "no_codes", "unknown_code"}),
     "q_heldout_cases": ("violation", {None, "repeated_id", "expected_decision", "label_disagrees"}),
+    "q_artifact_failures": ("codes", {"missing_provenance", "source_missing", "source_seed_mismatch", "source_or_candidate_invalid", "mutation_unavailable", "candidate_not_canonical", "source_not_restored", "missing_artifact"}),
 }
 
 

@@ -45,6 +45,10 @@ BRANCHES = {
     "q_retry_metadata": ("violation", {None, "generation", "retry_of", "no_codes", "unknown_code"}),
     "q_heldout_cases": ("violation", {None, "repeated_id", "expected_decision", "label_disagrees"}),
     "q_artifact_failures": ("codes", {"missing_provenance", "source_missing", "source_seed_mismatch", "source_or_candidate_invalid", "mutation_unavailable", "candidate_not_canonical", "source_not_restored", "missing_artifact"}),
+    "q_policy_rows": ("error", {None, "proposals_missing", "proposals_not_canonical", "output_differs", "oracle_differs", "manifest_missing", "manifest_differs"}),
+    "q_security_rows": ("error", {None, "code_missing", "fixture_not_canonical", "output_differs", "fixture_differs", "oracle_differs"}),
+    "q_public_outcomes": ("status", {None, "completed", "blocked", "partial"}),
+    "q_execution_summaries": ("problem", {None, "status", "check_repeated", "check_exit_code"}),
 }
 
 

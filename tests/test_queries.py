@@ -52,6 +52,8 @@ BRANCHES = {
     "q_price_list_errors": ("codes", {"absent", "id_repeated", "not_audited", "protocol_unknown", "url_not_https", "price_negative", "protocols_differ", "urls_differ", "models_differ", "billing_differs", "source_differs", "retrieved_differs"}),
     "q_call_costs": ("reason", {None, "provider_binding_unknown", "billing_protocol_unknown", "exact_alias_unknown", "subscription_quota_no_marginal_token_price", "input_usage_unknown", "output_usage_unknown", "cache_read_usage_unknown", "cache_write_usage_unknown", "unknown_price"}),
     "q_combined_costs": ("reason", {None, "no_shards", "pricing_provenance_unknown", "mixed_pricing_provenance", "one_or_more_shard_costs_unknown", "mixed_currency"}),
+    "q_stage_outputs": ("violation", {None, "not_an_object", "unknown_key", "steps", "step_keys", "decision", "labels", "language", "code", "summary"}),
+    "q_stage_prompts": ("lacking", {None, "policy", "code", "defect"}),
 }
 
 

@@ -72,7 +72,7 @@ def q_artifact_failures(t: Tables) -> DataFrame:
     return _failures(t)
 
 
-@query(f"WITH {_FAILURES} SELECT stage, code, count(*) AS rows, count_if(one) AS alone FROM (SELECT stage, unnest(codes) AS code, len(codes) = 1 AS one FROM failures) GROUP BY stage, code")
+@query(f"WITH {_FAILURES} SELECT stage, code, count(*) AS rows, count_if(one)::BIGINT AS alone FROM (SELECT stage, unnest(codes) AS code, len(codes) = 1 AS one FROM failures) GROUP BY stage, code")
 def q_artifact_failure_counts(t: Tables) -> DataFrame:
     """How many rows have each code, and how many nothing else."""
     return R.failure_counts(_failures(t))

@@ -54,6 +54,8 @@ BRANCHES = {
     "q_combined_costs": ("reason", {None, "no_shards", "pricing_provenance_unknown", "mixed_pricing_provenance", "one_or_more_shard_costs_unknown", "mixed_currency"}),
     "q_stage_outputs": ("violation", {None, "not_an_object", "unknown_key", "steps", "step_keys", "decision", "labels", "language", "code", "summary"}),
     "q_stage_prompts": ("lacking", {None, "policy", "code", "defect"}),
+    "q_lineage_edges": ("code", {None, "missing_source_record_id", "source_not_strict_gold", "missing_seed_id", "seed_id_mismatch", "alignment_id_mismatch", "canonical_input_mismatch"}),
+    "q_lineage_summary": ("kind", {"edge", "chain"}),
 }
 
 

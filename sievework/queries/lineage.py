@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.labels import FIXTURES, fixture_suffix
 from ..functions.text import stable_id
 from ..operators import lineage as L
+from ..operators import partition as P
+from ..plans.partition import partition_records
 from .common import Tables, registry
 
 QUERIES, query = registry()
@@ -15,7 +17,7 @@ QUERIES, query = registry()
 _STAGES = ["plan", "tool_policy", "frontend", "review", "security"]
 _SUFFIX = [f"\n\n/* {marker} descriptor-only; never execute */" for _, marker, _ in FIXTURES]
 
-_RECORDS = f"""
+_MADE = f"""
 own AS (SELECT doc_id, doc_id // 5 AS s, doc_id % 5 AS k, length(text) AS n, regexp_replace(substr(text, 1, 60), '[^a-z ]', '', 'g') AS w FROM documents WHERE doc_id >= 0),
 seeds AS (
   SELECT s, max(w) FILTER (WHERE k = 0) AS w0, max(w) FILTER (WHERE k = 1) AS w1, max(CASE WHEN n % 9 = 4 THEN '<p>' || w ELSE '<main>' || w || '</main>' END) FILTER (WHERE k = 2) AS front,
@@ -27,7 +29,8 @@ records AS MATERIALIZED (
          CASE WHEN n % 9 = CASE k WHEN 2 THEN 2 ELSE 1 END THEN 'other' ELSE 'P:' || w0 END AS plan, CASE WHEN n % 9 = 3 THEN 'other' ELSE 'Q:' || w1 END AS policy,
          replace(replace(front, '<main>', '<div>'), '</main>', '</div>') AS made, CASE WHEN n % 9 = 1 THEN front ELSE replace(replace(front, '<main>', '<div>'), '</main>', '</div>') END AS candidate,
          CASE k WHEN 0 THEN 'P:' || w0 WHEN 1 THEN 'Q:' || w1 WHEN 2 THEN front WHEN 3 THEN spoilt || front ELSE 'PASS' END AS output, spoilt || front AS reviewed, n % 9 <> 1 AS fixture_ok, k
-  FROM own o JOIN seeds USING (s) WHERE n % 25 <> 7),
+  FROM own o JOIN seeds USING (s) WHERE n % 25 <> 7)"""
+_LINKS = f"""
 links AS (
   SELECT *, CASE WHEN unnamed THEN NULL ELSE up + j END AS source FROM (
     SELECT *, unnest(CASE k WHEN 1 THEN [0] WHEN 2 THEN [0, 1] WHEN 3 THEN [2] WHEN 4 THEN [3] ELSE [] END) AS j FROM records)),
@@ -47,6 +50,8 @@ whole AS (
   JOIN held d ON d.edge = 'plan->frontend' AND b.source_id = d.downstream_id JOIN held e ON e.edge = 'plan->tool_policy' AND c.source_id = e.downstream_id WHERE a.edge = 'review->security'),
 chains AS (SELECT security_id, seed, CASE WHEN fork THEN 'planner_reference_fork' WHEN row_number() OVER (PARTITION BY seed, fork ORDER BY line) > 1 THEN 'duplicate_complete_chain_seed' END AS code FROM whole)"""
 
+_RECORDS = f"{_MADE},{_LINKS}"
+
 
 def _records(t: Tables) -> DataFrame:
     n, k, s = F.col("n"), F.col("k"), F.col("s")
@@ -80,3 +85,33 @@ def q_lineage_summary(t: Tables) -> DataFrame:
     """Links by edge and code, and complete chains."""
     found = L.edges(_records(t))
     return L.lineage_summary(found, L.chains(found))
+
+
+_WANT = {"plan": 30, "tool_policy": 1000000, "frontend": 20, "review": 25, "security": 0}
+
+
+@query(f"""
+WITH {_MADE.replace("records AS MATERIALIZED", "all_records AS MATERIALIZED")},
+judged AS (SELECT *, CASE WHEN seed = 'seed-x' THEN 'reject' WHEN requirement = 'other' THEN 'negative' ELSE 'gold' END AS first_disposition FROM all_records),
+parted AS MATERIALIZED (
+  SELECT *, CASE WHEN first_disposition = 'gold' AND row_number() OVER (PARTITION BY first_disposition, k, output, CASE k WHEN 3 THEN candidate WHEN 4 THEN reviewed || CASE WHEN NOT fixture_ok THEN '' WHEN id % 2 = 0 THEN ' 0' ELSE ' 1' END END ORDER BY line, id) > 1 THEN 'negative' ELSE first_disposition END AS disposition FROM judged),
+records AS MATERIALIZED (SELECT * FROM parted WHERE disposition = 'gold'),
+{_LINKS},
+summary AS (SELECT 'edge:' || edge || ':' || coalesce(code, 'ok') AS name, count(*) AS rows FROM edges GROUP BY ALL UNION ALL SELECT 'chain:complete:' || coalesce(code, 'ok'), count(*) FROM chains GROUP BY ALL),
+wanted(stage, want) AS (VALUES {", ".join(f"('{k}', {v})" for k, v in _WANT.items())}),
+have AS (SELECT stage, count(*) AS have FROM records GROUP BY stage),
+axis_rows AS (SELECT unnest(['card', 'seed']) AS axis, unnest([card, seed]) AS value FROM records),
+cells AS (SELECT axis, value, count(*) AS n FROM axis_rows GROUP BY axis, value),
+shares AS (SELECT axis, sum(n) AS total, sum(n) // greatest(count(*), 5) AS share FROM cells GROUP BY axis)
+SELECT 'raw' AS section, 'records' AS name, count(*)::BIGINT AS rows FROM parted
+UNION ALL SELECT 'disposition', stage || ':' || disposition, count(*) FROM parted GROUP BY ALL
+UNION ALL SELECT 'lineage', name, rows FROM summary UNION ALL SELECT 'lineage_after', name, rows FROM summary
+UNION ALL SELECT 'shortfall', stage, want - coalesce(have, 0) FROM wanted LEFT JOIN have USING (stage) WHERE coalesce(have, 0) < want
+UNION ALL SELECT 'uncovered', axis, count(*) FROM cells JOIN shares USING (axis) WHERE total >= 5 AND n < share GROUP BY axis
+""")
+def q_curation_manifest(t: Tables) -> DataFrame:
+    """The manifest of the whole partition of the stage records."""
+    quotas = t.spark.createDataFrame(sorted(_WANT.items()), "stage string, want long")
+    hard, soft = P.label_array(seed=F.col("seed") == "seed-x"), P.label_array(requirement=F.col("requirement") == "other")
+    content = F.concat_ws("|", "stage", "output", F.coalesce("code", F.lit("")))
+    return partition_records(_records(t), hard, soft, content, quotas, ["card", "seed"], 5)[1]

@@ -2,7 +2,12 @@
 
 import hashlib
 
+import pytest
+from pyspark.sql import functions as F
+from sievework.functions.safety import redacted
 from sievework.operators import lineage as L
+from sievework.operators import partition as P
+from sievework.plans.partition import partition_records
 
 SCHEMA = ("id string, stage string, line int, seed string, card string, tags array<string>, alignment string, plan_id string, tool_policy_id string, frontend_id string, review_id string, "
           "requirement string, plan string, policy string, code string, output string")
@@ -67,8 +72,27 @@ def test_requirement_without_payloads(spark):
     payload = "make <script>alert(1)</script> safe"
     rows = chain("s", **{f"{stage}__requirement": payload for stage in ("plan", "tool_policy", "frontend", "review", "security")})
     assert codes(spark, rows) == {("review->security", "security-s-0"): ("canonical_input_mismatch", "requirement")}
-    from pyspark.sql import functions as F
-    from sievework.functions.safety import redacted
-
     sane = spark.range(1).select(redacted(F.lit(payload))[0]).first()[0]
     assert codes(spark, [(*r[:11], sane, *r[12:]) if r[1] == "security" else r for r in rows]) == {}
+
+
+def test_partition_records(spark):
+    long = "<main>one two three four five six seven eight nine ten</main>"
+    near = long.replace("one two", "zero one two")
+    sources = [("a", long), ("b", near), ("c", "<main>other</main>"), ("d", "<main>other</main>")]
+    rows = []
+    for i, (seed, code) in enumerate(sources):
+        rows += chain(seed, i, frontend__output=code, review__code=code.replace("main", "div"), review__output=code, security__code=FIXED.replace("<main>x</main>", code))
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("text", F.when(F.col("stage") == "frontend", F.col("output")).otherwise(F.concat("stage", F.lit(" "), "seed")))
+    hard, soft = P.label_array(d=(F.col("seed") == "d") & (F.col("stage") == "plan")), P.label_array()
+    quotas = spark.createDataFrame([("frontend", 3), ("plan", 3)], "stage string, want long")
+    content = F.when(F.col("stage") == "frontend", F.col("output")).otherwise(F.col("id"))
+    out, manifest = partition_records(df, hard, soft, content, quotas, ["seed"], 1, near=("line", "text"))
+    got = {r.id: (r.disposition, r.labels) for r in out.where("disposition <> 'gold'").collect()}
+    assert got == {"plan-d-3": ("reject", ["d"]), "frontend-d-3": ("negative", ["duplicate_content"]), "frontend-b-1": ("negative", ["near_duplicate"])}
+    m = {(r.section, r.name): r["rows"] for r in manifest.collect()}
+    assert m["raw", "records"] == 20 and m["disposition", "frontend:gold"] == 2 and m["disposition", "frontend:negative"] == 2 and m["shortfall", "frontend"] == 1 and ("shortfall", "plan") not in m
+    assert m["lineage", "chain:complete:ok"] == 3 and m["lineage_after", "chain:complete:ok"] == 2 and m["lineage", "edge:frontend->review:source_not_strict_gold"] == 1 and m["lineage_after", "edge:frontend->review:source_not_strict_gold"] == 2
+    assert m["lineage", "edge:plan->tool_policy:source_not_strict_gold"] == 1 and m["uncovered", "seed"] >= 1
+    with pytest.raises(ValueError):
+        partition_records(df.withColumn("id", F.lit(None).cast("string")), hard, soft, content, quotas, ["seed"], 1)

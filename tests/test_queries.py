@@ -56,6 +56,7 @@ BRANCHES = {
     "q_stage_prompts": ("lacking", {None, "policy", "code", "defect"}),
     "q_lineage_edges": ("code", {None, "missing_source_record_id", "source_not_strict_gold", "missing_seed_id", "seed_id_mismatch", "alignment_id_mismatch", "canonical_input_mismatch"}),
     "q_lineage_summary": ("kind", {"edge", "chain"}),
+    "q_curation_manifest": ("section", {"raw", "disposition", "lineage", "lineage_after", "shortfall", "uncovered"}),
 }
 
 

@@ -32,15 +32,14 @@ def q_edge_error_counts(t):
 FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem) JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey)
 SELECT security_id, seed, CASE WHEN fork THEN 'planner_reference_fork' WHEN row_number() OVER (PARTITION BY seed, fork ORDER BY security_id) > 1 THEN 'duplicate_complete_chain_seed' END AS code FROM c""")
 def q_complete_chain(t):
-    ident = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    lines = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").distinct()
-    security = lines.select(ident.alias("id"), F.col("l_suppkey").alias("seed"), ident.alias("line"), ident.alias("review_id"))
-    review = lines.select(ident.alias("id"), F.concat(F.lit("f"), ident).alias("frontend_id"))
+    key = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    lines = t.lineitem.select(*key).distinct()
+    security = lines.select(*key, F.concat_ws("-", *key).alias("id"), F.col("l_suppkey").alias("seed"))
     owner = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", (F.col("c_nationkey") % 3).alias("plan_id"))
-    frontend = lines.join(owner, F.col("l_orderkey") == F.col("o_orderkey")).select(F.concat(F.lit("f"), ident).alias("id"), "plan_id", F.col("l_suppkey").alias("tool_id"))
+    frontend = lines.join(owner, F.col("l_orderkey") == F.col("o_orderkey")).select(*key, "plan_id", F.col("l_suppkey").alias("tool_id"))
     tool = t.supplier.select(F.col("s_suppkey").alias("id"), (F.col("s_nationkey") % 3).alias("plan_id"))
     plan = t.spark.range(3).select(F.col("id"))
-    return J.complete_chains(security, review, frontend, tool, plan)
+    return J.complete_chains(security, lines, frontend, tool, plan, order="id", key=key)
 
 
 @query(r"""SELECT 'orders.o_custkey' AS reference, o_custkey::VARCHAR AS value FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)

@@ -8,8 +8,10 @@ How many is calibrated: for a bounded number of queries the true neighbours are
 found among all rows, and visits widen until the wanted share of them is reached.
 
 Of equal vectors only the k + 1 smallest ids can be an answer, so only those are
-put into leaves.  A leaf meets its queries; what holds more than TILE rows or is
-asked by more than TILE queries is split, so tasks stay bounded whatever a leaf holds.
+put into leaves.  Leaves are dealt to BUCKETS buckets, and a bucket meets its queries leaf
+by leaf: it gives k rows a query, however many leaves the query visits.  What holds
+more than TILE rows or is asked by more than TILE queries is split, so tasks stay
+bounded whatever a leaf holds.
 """
 
 from __future__ import annotations
@@ -30,8 +32,10 @@ FIT_ROWS, FIT_MOST, FIT_ROOT = 20_000, 200_000, 8
 CALIBRATION = 400
 #: Children of a node, rows that a leaf is meant to hold, sampled rows it needs.
 BRANCH, LEAF_ROWS, LEAF_SAMPLE = 8, 512, 8
-#: Rows and queries of a tile of a leaf.
-TILE = 4096
+#: Buckets of leaves: their number is fixed, so rows found grow with queries alone.
+BUCKETS = 32
+#: Rows and queries of a tile of a bucket.
+TILE = 32_768
 RECALL = 0.97
 
 
@@ -213,24 +217,38 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, recall: float = RECA
         for batch in batches:
             points = _unit(_matrix(batch.column(1))) if batch.num_rows else []
             # The query's own row is none of its k.
-            leaves = [shared.value.visit(p, visits, held.value, k + 1) for p in points]
-            at = np.repeat(np.arange(len(leaves)), [len(x) for x in leaves])
-            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(at, pa.int64())) for c in batch.columns), pa.array([x for own in leaves for x in own], pa.int32())], ["vec_id", "v", "leaf"])
-
-    calls = materialize(asked.mapInArrow(go, "vec_id long, v array<double>, leaf int"), "calls")
-    # A row a leaf; the tree, and so their number, is bounded by FIT_MOST.
-    tiles = lambda df, name: df.groupBy("leaf").agg(F.expr(f"CAST(ceil(count(*) / {TILE}) AS INT)").alias(name))
-    sizes = F.broadcast(tiles(placed, "row_tiles").join(tiles(calls, "call_tiles"), "leaf"))
+            dealt = []
+            for i, p in enumerate(points):
+                own: dict[int, list[int]] = {}
+                for leaf in shared.value.visit(p, visits, held.value, k + 1):
+                    own.setdefault(leaf % BUCKETS, []).append(leaf)
+                dealt += [(i, bucket, leaves) for bucket, leaves in own.items()]
+            at, bucket, leaves = zip(*dealt) if dealt else ((), (), ())
+            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(at, pa.int64())) for c in batch.columns), pa.array(bucket, pa.int32()), pa.array(leaves, pa.list_(pa.int32()))], ["vec_id", "v", "bucket", "leaves"])
+
+    calls = materialize(asked.mapInArrow(go, "vec_id long, v array<double>, bucket int, leaves array<int>"), "calls")
+    rows_of = placed.withColumn("bucket", F.pmod("leaf", F.lit(BUCKETS)))
+    # A row a bucket.
+    tiles = lambda df, name: df.groupBy("bucket").agg(F.expr(f"CAST(ceil(count(*) / {TILE}) AS INT)").alias(name))
+    sizes = F.broadcast(tiles(rows_of, "row_tiles").join(tiles(calls, "call_tiles"), "bucket"))
     part = lambda n: F.pmod(F.xxhash64(F.lit(9), "vec_id"), F.col(n)).cast("int")
     every_part = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = placed.join(sizes, "leaf").withColumn("row_part", part("row_tiles")).withColumn("call_part", every_part("call_tiles"))
-    right = calls.join(sizes, "leaf").withColumn("call_part", part("call_tiles")).withColumn("row_part", every_part("row_tiles"))
-    keys = ["leaf", "row_part", "call_part"]
+    left = rows_of.join(sizes, "bucket").withColumn("row_part", part("row_tiles")).withColumn("call_part", every_part("call_tiles"))
+    right = calls.join(sizes, "bucket").withColumn("call_part", part("call_tiles")).withColumn("row_part", every_part("row_tiles"))
+    keys = ["bucket", "row_part", "call_part"]
 
     def meet(own, other):
-        if not own.num_rows or not other.num_rows:
-            return pa.Table.from_batches([_hits([])])
-        return pa.Table.from_batches([_hits(nearest(_matrix(other.column("v")), other.column("vec_id").to_numpy(), _matrix(own.column("v")), own.column("vec_id").to_numpy(), k))])
-
-    hits = left.select(*keys, "vec_id", "v").groupBy(*keys).cogroup(right.select(*keys, "vec_id", "v").groupBy(*keys)).applyInArrow(meet, "query_id long, vec_id long, score double")
+        best: dict[int, list] = {}
+        if own.num_rows and other.num_rows:
+            rows, ids, leaf = _matrix(own.column("v")), own.column("vec_id").to_numpy(), own.column("leaf").to_numpy()
+            points, callers, wanted = _matrix(other.column("v")), other.column("vec_id").to_numpy(), other.column("leaves").combine_chunks()
+            asks, caller = wanted.flatten().to_numpy(), np.repeat(np.arange(len(callers)), wanted.value_lengths().to_numpy())
+            for one in np.unique(leaf):
+                here, by = leaf == one, caller[asks == one]
+                if len(by):
+                    for hit in nearest(points[by], callers[by], rows[here], ids[here], k):
+                        best.setdefault(hit[0], []).append(hit)
+        return pa.Table.from_batches([_hits([h for found in best.values() for h in sorted(found, key=lambda h: (-h[2], h[1]))[:k]])])
+
+    hits = left.select(*keys, "vec_id", "v", "leaf").groupBy(*keys).cogroup(right.select(*keys, "vec_id", "v", "leaves").groupBy(*keys)).applyInArrow(meet, "query_id long, vec_id long, score double")
     return _ranked(hits, k).withColumn("recall", F.lit(reached))

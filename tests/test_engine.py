@@ -3,6 +3,7 @@
 import json
 import random
 from difflib import SequenceMatcher
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -142,6 +143,20 @@ def test_near_representatives_of_a_drifting_chain(spark):
     assert got == {i: i - i % 2 for i in range(105)}
 
 
+def test_near_representatives_on_little_disk(spark):
+    """What a run leaves in the shared folder is smaller than its texts; a short text lies in a long one."""
+    r = random.Random(3)
+    base = [[f"w{r.randint(0, 10 ** 6)}" for _ in range(300)] for _ in range(200)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(base)] + [(1000 + i, " ".join(w[:290])) for i, w in enumerate(base)] + [(2000 + i, " ".join(w[40:50])) for i, w in enumerate(base[:20])]
+    df = spark.createDataFrame(rows, "id long, text string").repartition(3)
+    folder = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    size = lambda: sum(p.stat().st_size for p in folder.rglob("*") if p.is_file())
+    before = size()
+    got = {x.id: x.representative for x in D.near_representatives(df, "id", "id", T.tokens(F.col("text"))).collect()}
+    assert got == {i: i % 1000 for i, _ in rows}
+    assert size() - before < sum(len(t) for _, t in rows)
+
+
 def test_unions(spark):
     a = spark.createDataFrame([(1, "x", "k1"), (2, "y", "k2")], "id long, c string, k string")
     same, found = D.conflict_union([a, a], "id", F.col("c"), ["k"])

@@ -9,8 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.types import LongType, StructType
@@ -31,24 +30,39 @@ class FileTotals(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.generation = handle.getValueState("generation", "generation string", self.ttl_ms)
-        self.totals = handle.getMapState("totals", "stage string", "n long, total double, unknown long", self.ttl_ms)
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        self.totals = handle.getValueState("totals", "stages array<string>, n array<long>, total array<double>, unknown array<long>", self.ttl_ms)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        """Two reads and at most two writes of state, however many rows and stages: each is a round trip."""
+        read: dict[str, dict[str, list]] = {}
+        for _, _, generation, stage, amount in rows:
+            if generation is not None:
+                sums = read.setdefault(generation, {}).setdefault(stage, [0, 0.0, 0])
+                sums[0] += 1
+                if amount is None or amount != amount:
+                    sums[2] += 1
+                else:
+                    sums[1] += amount
         rank = int if self.ordered else str
-        current = self.generation.get()[0] if self.generation.exists() else None
-        for batch in rows:  # pieces of bounded size
-            for generation, part in batch.groupby("generation", sort=self.ordered):
-                if current is None or (rank(generation) > rank(current) if self.ordered else generation != current):
-                    self.totals.clear()
-                    current = generation
-                    self.generation.update((current,))
-                if generation != current:
-                    continue
-                for stage, some in part.groupby("stage"):
-                    n, total, unknown = self.totals.getValue((stage,)) if self.totals.containsKey((stage,)) else (0, 0.0, 0)
-                    self.totals.updateValue((stage,), (n + len(some), total + float(some["amount"].sum()), unknown + int(some["amount"].isna().sum())))
-        found = [(*key, current, stage, n, total, unknown) for (stage,), (n, total, unknown) in self.totals.iterator()]
-        yield pd.DataFrame(found, columns=["shard", "file", "generation", "stage", "rows", "total", "unknown_rows"])
+        kept = self.generation.get()
+        before = current = kept[0] if kept else None
+        found = {}
+        held = self.totals.get() if kept else None
+        if held:
+            found = {stage: list(sums) for stage, *sums in zip(*held)}
+        for generation in sorted(read, key=rank) if self.ordered else read:
+            if current is None or (rank(generation) > rank(current) if self.ordered else generation != current):
+                current, found = generation, {}
+            if generation != current:
+                continue
+            for stage, sums in read[generation].items():
+                found[stage] = [x + y for x, y in zip(found.get(stage, (0, 0.0, 0)), sums)]
+        if current != before:
+            self.generation.update((current,))
+        if current in read:
+            self.totals.update((list(found), *map(list, zip(*found.values()))))
+        for stage, (n, total, unknown) in found.items():
+            yield Row(shard=key[0], file=key[1], generation=current, stage=stage, rows=n, total=total, unknown_rows=unknown)
 
     def close(self) -> None:
         pass
@@ -57,12 +71,13 @@ class FileTotals(StatefulProcessor):
 def file_totals(lines: DataFrame, ordered: bool = False, ttl_ms: int | None = None) -> DataFrame:
     """Stream of (shard, file, generation string, stage, amount) to the totals of each file
     that a batch touches: all stages of its present generation.  Rows without a stage
-    are left out; unknown amounts are counted, not summed.  State holds one row a stage
-    of each file, which ttl_ms forgets when it was not touched for so long; the query
-    then wakes to forget, so it must poll (`record` with once=False) and never ends.
+    are left out; unknown amounts are counted, not summed.  State holds two rows of each
+    file, its generation and its totals, which ttl_ms forgets when they were not touched for
+    so long; the query then wakes to forget, so it must poll (`record` with once=False) and
+    never ends.
     """
     return lines.where(F.col("stage").isNotNull()).select("shard", "file", F.col("generation").cast("string").alias("generation"), "stage", F.col("amount").cast("double").alias("amount")).groupBy(
-        "shard", "file").transformWithStateInPandas(FileTotals(ordered, ttl_ms), "shard long, file string, generation string, stage string, rows long, total double, unknown_rows long",
+        "shard", "file").transformWithState(FileTotals(ordered, ttl_ms), "shard long, file string, generation string, stage string, rows long, total double, unknown_rows long",
                                                     "update", "processingTime" if ttl_ms else "none")
 
 

@@ -82,6 +82,37 @@ def test_generations_out_of_order(spark, tmp_path):
     assert {(r["shard"], r["generation"], r["stage"], r["rows"], r["total"], r["unknown_rows"]) for r in got} == {(0, "10", "a", 1, 5.0, 0), (0, "10", "b", 1, 0.0, 1), (1, "1", "a", 1, 4.0, 0)}
 
 
+def test_state_calls_do_not_grow_with_rows_and_stages():
+    calls = []
+
+    class Value:
+        def __init__(self, name):
+            self.name, self.value = name, None
+
+        def get(self):
+            calls.append(self.name)
+            return self.value
+
+        def update(self, value):
+            calls.append(self.name)
+            self.value = value
+
+    class Handle:
+        def getValueState(self, name, schema, ttl=None):
+            return Value(name)
+
+    totals = monitor.FileTotals(True, None)
+    totals.init(Handle())
+    rows = [(0, "f", str(g), f"s{i}", a) for g in (9, 10) for i in range(30) for a in (1.0, 2.0, None, float("nan"))]
+    for times in (1, 2):
+        calls.clear()
+        got = list(totals.handleInputRows((0, "f"), iter(rows), None))
+        assert len(calls) <= 4
+        assert sorted(map(tuple, got)) == sorted((0, "f", "10", f"s{i}", 4 * times, 3.0 * times, 2 * times) for i in range(30))
+    calls.clear()
+    assert len(list(totals.handleInputRows((0, "f"), iter([(0, "f", "9", "late", 1.0)]), None))) == 30 and len(calls) <= 2
+
+
 def test_forgets(spark, tmp_path):
     """With a time to live the query polls, and what no batch touches leaves the state."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", monitor.STATE_STORE)

@@ -81,3 +81,13 @@ def test_curriculum(spark):
     twice = spark.createDataFrame([(1, 1, "x"), (1, 2, "x"), (2, None, None), (3, None, "wget http://a")], "task_id int, seed_id int, text string")
     none = spark.createDataFrame([], "held_id int, text string")
     assert {r.task_id: r.codes for r in V.curriculum_codes(twice, none, ["wget http"]).collect()} == {1: ["repeated_task"], 2: ["empty_text"], 3: ["active_payload"]}
+
+
+def test_tiles_are_tasks(spark, monkeypatch):
+    """Tiles of few bytes take long to compare, so they stay tasks of their own."""
+    monkeypatch.setattr(V, "TILE", 300)
+    rows = [(i, t) for i, t in enumerate(texts()) if t]
+    a, b = spark.createDataFrame(rows, "a_id int, a string"), spark.createDataFrame(rows, "b_id int, b string")
+    found = V.close_pairs(a, b, 0.86).withColumn("task", F.spark_partition_id()).collect()
+    assert len({r.task for r in found}) > 8
+    assert {(r.a_id, r.b_id) for r in found} == {(i, j) for i, x in rows for j, y in rows if SequenceMatcher(None, x, y, autojunk=False).ratio() >= 0.86}
